@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
-from .shared import table
+from . import packing, quality
+from .shared import stored, table
+
+
+def vocabulary() -> tuple[str, str]:
+    """Path of the vocabulary's ranks and its split pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.cut(table(spark, sf_dir, "documents"), *vocabulary(), capacity=2048)
+    digest = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.assign(stored(digest, "pieces"), capacity=2048).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +36,7 @@ def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_harmonic_packing": op5_harmonic_packing,
     "op9_quality_nbsvm": op9_quality_nbsvm,
 }
 
