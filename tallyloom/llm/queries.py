@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality
+from . import langid, mixing, packing, quality
 from .shared import stored, table
 
 
@@ -24,6 +24,12 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(stored(digest, "pieces"), capacity=2048).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = langid.fit(docs, parts=4, held=2)
+    return langid.predict(docs, models).select("doc_id", (quality.fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.totals(placed, mixed).select("doc_id", "size", "source_size", "target", "taken")
@@ -42,6 +48,7 @@ def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_harmonic_packing": op5_harmonic_packing,
+    "op7_language_id": op7_language_id,
     "op8_mix_to_weights": op8_mix_to_weights,
     "op9_quality_nbsvm": op9_quality_nbsvm,
 }
