@@ -151,7 +151,7 @@ class Scorer:
             return UNKNOWN, 0.0, None, False
         each, n = found
         best = int(np.argmin(each))
-        odds = np.exp(np.clip((each[best] - each) * min(n, 200), -700, 0))
+        odds = np.exp(np.clip((each[best] - each) * min(n, 30), -700, 0))
         return self.m.langs[best], float(1 / odds.sum()), float(each[best]), bool(each[best] > self.m.limits[best])
 
 

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality
+from . import langid, mixing, packing, quality, simhash
 from .shared import stored, table
 
 
+def op4_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def vocabulary() -> tuple[str, str]:
     """Path of the vocabulary's ranks and its split pattern."""
     import public_tokenizers
@@ -47,6 +52,7 @@ def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash_vantage": op4_simhash_vantage,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op7_language_id": op7_language_id,
     "op8_mix_to_weights": op8_mix_to_weights,
