@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, simhash
+from . import langid, mixing, nearest, packing, quality, simhash
 from .shared import stored, table
 
 
@@ -29,6 +29,12 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(stored(digest, "pieces"), capacity=2048).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").filter(nearest.sound("embedding"))
+    codes = vectors.select(F.col("vec_id").cast("long").alias("id"), nearest.sign_code("embedding").alias("code"))
+    return nearest.nearest_codes(codes, every=50, k=10).select("query_id", "rank", "vec_id", F.col("score").cast("int").alias("distance"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = langid.fit(docs, parts=4, held=2)
@@ -51,12 +57,18 @@ def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_vantage": op4_simhash_vantage,
     "op5_harmonic_packing": op5_harmonic_packing,
+    "op6_multi_index_topk": op6_multi_index_topk,
     "op7_language_id": op7_language_id,
     "op8_mix_to_weights": op8_mix_to_weights,
     "op9_quality_nbsvm": op9_quality_nbsvm,
+    "op10_block_matrix_ann": op10_block_matrix_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {}
