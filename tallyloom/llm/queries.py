@@ -7,10 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, nearest, packing, quality, rendering, simhash
+from . import chat, langid, mixing, nearest, packing, quality, rendering, simhash
 from .shared import stored, table
 
 
+def op1_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.linked(chat.events(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "turn", "kind", "call_id", "linked_turn", "level", "valid", F.concat_ws("; ", "errors").alias("errors"), "json")
+
+
+#: Calls are user turns, results the assistant turns right after them.
+OP1_SQL = """
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'none') AS role, text FROM conversations),
+e AS (SELECT *,
+        CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+        CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id FROM m),
+a AS (SELECT conv_id, call_id, min(turn) AS answered FROM e WHERE kind = 'result' GROUP BY ALL),
+q AS (SELECT conv_id, call_id, min(turn) AS asked, count(*) AS times FROM e WHERE kind = 'call' GROUP BY ALL),
+l AS (SELECT e.*, CASE kind WHEN 'call' THEN answered WHEN 'result' THEN asked END AS linked_turn,
+        CASE kind WHEN 'call' THEN list_filter([CASE WHEN text IS NULL THEN 'missing text' END, CASE WHEN answered IS NULL THEN 'no result' END, CASE WHEN times > 1 THEN 'repeated call id' END], lambda x: x IS NOT NULL)
+                  WHEN 'result' THEN CASE WHEN asked IS NULL THEN ['no call'] ELSE [] END ELSE [] END AS errs
+      FROM e LEFT JOIN a USING (conv_id, call_id) LEFT JOIN q USING (conv_id, call_id))
+SELECT conv_id, turn, kind, call_id, linked_turn, 0 AS level, len(errs) = 0 AS valid, array_to_string(errs, '; ') AS errors,
+  '{' || CASE WHEN kind = 'call' THEN '"arguments":{' || coalesce('"text":' || to_json(text)::VARCHAR, '') || '},' ELSE '' END
+  || coalesce('"call_id":' || to_json(call_id)::VARCHAR || ',', '')
+  || CASE WHEN kind <> 'call' AND text IS NOT NULL THEN '"content":' || to_json(text)::VARCHAR || ',' ELSE '' END
+  || '"errors":' || CASE WHEN len(errs) = 0 THEN '[]' ELSE to_json(errs)::VARCHAR END
+  || ',"kind":"' || kind || '",' || coalesce('"linked_turn":' || linked_turn || ',', '')
+  || CASE WHEN kind = 'call' THEN '"name":"reply",' ELSE '' END || '"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' AS json
+FROM l
+"""
+
+
 def op2_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.extract(table(spark, sf_dir, "pages")).select("page_id", "text")
 
@@ -66,6 +94,7 @@ def op10_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tool_call_links": op1_tool_call_links,
     "op2_layout_text": op2_layout_text,
     "op4_simhash_vantage": op4_simhash_vantage,
     "op5_harmonic_packing": op5_harmonic_packing,
@@ -76,4 +105,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_block_matrix_ann": op10_block_matrix_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_tool_call_links": OP1_SQL}
