@@ -48,11 +48,15 @@ def blocks(rows: DataFrame, *, block_rows: int) -> DataFrame:
     return rows.select("id", "body", "kind").mapInArrow(pack, "block long, kind int, ids binary, bodies binary")
 
 
+def even(rows: DataFrame, block_rows: int) -> DataFrame:
+    """As many partitions as there are full blocks, so that blocks don't depend on how the input is cut."""
+    return rows.repartition(max(1, -(-rows.count() // block_rows)))
+
+
 def grid(candidates: DataFrame, queries: DataFrame, *, block_rows: int, query_rows: int) -> DataFrame:
     """Rows of (kind, ids, bodies, q_ids, q_bodies): all pairs of blocks of one kind."""
     spark = candidates.sparkSession
-    parts = -(-queries.count() // query_rows)
-    q = stored(blocks(queries.repartition(max(1, parts), "id"), block_rows=query_rows), "queries")
+    q = stored(blocks(queries, block_rows=query_rows), "queries")
     c = stored(blocks(candidates, block_rows=block_rows), "candidates")
     pairs = max(1, q.count())
     salts = max(1, -(-4 * spark.sparkContext.defaultParallelism // pairs))

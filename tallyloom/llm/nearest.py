@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import grid
+from .grid import even, grid
 from .shared import ship
 
 FOUND = "query_id long, vec_id long, score double"
@@ -114,7 +114,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
         rows = [(q, -i, -d) for q, h in heaps.items() for d, i in h]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "vec_id", "score"])
 
-    met = grid(_rows(part), _rows(asked), block_rows=block_rows, query_rows=query_rows)
+    met = grid(_rows(even(part, block_rows)), _rows(even(asked, query_rows)), block_rows=block_rows, query_rows=query_rows)
     return ranked(met.mapInArrow(search, FOUND), k)
 
 
@@ -205,7 +205,7 @@ def nearest_codes(codes: DataFrame, *, every: int = 50, k: int = 10, block_rows:
                 i, c, d = index.search(np.frombuffer(q_bodies, ">u8").astype(np.uint64), k + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[c]), pa.array(d.astype(np.float64))], ["query_id", "vec_id", "score"])
 
-    met = grid(rows(entries), rows(asked), block_rows=block_rows, query_rows=query_rows)
+    met = grid(rows(even(entries, block_rows)), rows(even(asked, query_rows)), block_rows=block_rows, query_rows=query_rows)
     found = ranked(met.mapInArrow(search, FOUND), k + 1).select("query_id", "vec_id", "score")
     members = entries.select(F.col("id").alias("entry"), "members")
     whole = found.join(members, F.col("vec_id") == F.col("entry")).select("query_id", F.explode("members").alias("vec_id"), "score").filter("vec_id != query_id")
