@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, nearest, packing, quality, rendering, simhash
+from . import chat, langid, lines, mixing, nearest, packing, quality, rendering, simhash
 from .shared import stored, table
 
 
@@ -43,6 +43,11 @@ def op2_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.extract(table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs, min_tokens=5).select("doc_id", "lines_gone", "text")
+
+
 def op4_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -96,6 +101,7 @@ def op10_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tool_call_links": op1_tool_call_links,
     "op2_layout_text": op2_layout_text,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash_vantage": op4_simhash_vantage,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_multi_index_topk": op6_multi_index_topk,
