@@ -19,10 +19,12 @@ for themselves, alike rows in any order. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,11 +108,11 @@ def drawn(totals: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.nd
     return first, count
 
 
-SLOTS = "shard long, slot long, sid long, block long, words long"
+SLOTS = "shard long, slot long, sid long, turn long, block long, words long"
 
 
 def slots(targets: DataFrame, *, most: int = 3, block_words: int = 256, shard_slots: int = 4096, seed: int = 11) -> DataFrame:
-    """The mix: rows of shard, slot, source (``sid``), block and how many of its words are taken.
+    """The mix: rows of shard, slot, source (``sid``), pass (``turn``), block and how many of its words are taken.
 
     The driver gets one row a source (names of sources, not documents).
     """
@@ -140,7 +142,7 @@ def slots(targets: DataFrame, *, most: int = 3, block_words: int = 256, shard_sl
                 length = np.minimum(block_words, size[own] - block * block_words)
                 words = np.where(turn < passes[own], length, np.minimum(length, part[own] - i * block_words))
                 order = np.random.Generator(np.random.PCG64([seed, shard])).permutation(len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard)), pa.array(np.arange(len(own))), *(pa.array(x[order]) for x in (sid[own], block, words))], ["shard", "slot", "sid", "block", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard)), pa.array(np.arange(len(own))), *(pa.array(x[order]) for x in (sid[own], turn, block, words))], ["shard", "slot", "sid", "turn", "block", "words"])
 
     parts = max(1, min(shards, spark.sparkContext.defaultParallelism * 4))
     return spark.range(0, shards, 1, parts).mapInArrow(fill, SLOTS)
@@ -155,23 +157,64 @@ def fragments(placed: DataFrame, *, block_words: int = 256) -> DataFrame:
     return each.withColumns({"start": (low - F.col("at")).cast("long"), "length": (high - low).cast("long"), "block_at": (low - F.col("block") * block_words).cast("long")})
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 256, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """Documents with size, source_size, target and place; and the mix by (sid, block): in how many slots whole, and the words of a part slot.
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 256, seed: int = 11, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Documents with size, source_size, target and place; and the slots of the mix.
 
-    A slot takes the first ``words`` words of its block.
+    A slot takes the first ``words`` words of its block. ``keep``: columns that the documents carry along.
     """
-    sizes = stored(docs.select("source", F.col("doc_id").cast("long").alias("doc_id"), words_in("text").alias("size")), "sizes")
+    sizes = stored(docs.select("source", *keep, F.col("doc_id").cast("long").alias("doc_id"), words_in("text").alias("size")), "sizes")
     targets = stored(source_targets(sizes, weights=weights, most=most), "targets")
     named = targets.select(F.col("source").alias("s"), "sid", "source_size", "target")
     placed = positioned(sizes).join(F.broadcast(named) if targets.count() <= 100_000 else named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     return placed, slots(targets, most=most, block_words=block_words, seed=seed)
 
 
-def taken(placed: DataFrame, mixed: DataFrame, *, block_words: int = 256) -> DataFrame:
-    """Fragments with ``words``: a list with, for each slot that takes some of the fragment, how many of its words."""
-    used = mixed.groupBy("sid", "block").agg(F.collect_list("words").alias("takes"))  # a block is in one slot a pass, so in few
-    cut = fragments(placed, block_words=block_words).join(used, ["sid", "block"])
-    return cut.withColumn("words", F.filter(F.transform("takes", lambda w: F.least(F.col("length"), w - F.col("block_at"))), lambda w: w > 0)).drop("takes")
+def cut_pieces(text: str, takes: list[dict]) -> list[str]:
+    """Texts of what the mix takes: runs of words of one pass that follow each other, white space between them kept."""
+    runs: list[list[int]] = []
+    last = None
+    for turn, start, words in sorted((t["turn"], t["start"], t["words"]) for t in takes):
+        if last == (turn, start):
+            runs[-1][1] = start + words
+        else:
+            runs.append([start, start + words])
+        last = (turn, start + words)
+    spans = [m.span() for m in re.finditer(WORDS, text)]
+    return [text[spans[a][0] : spans[b - 1][1]] for a, b in runs]
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows of the columns of ``docs``: one for each run of a document's words that a pass takes.
+
+    Each document's text moves once, to meet the list of its takes.
+    """
+    columns = docs.columns
+    block_words = options.get("block_words", 256)
+    keyed = docs.withColumn("_row", F.xxhash64(*columns))
+    placed, mixed = mix(keyed, keep=("_row",), **options)
+    cut = fragments(placed.select("doc_id", "_row", "sid", "at", "size"), block_words=block_words)
+    words = F.least(F.col("length"), F.col("words") - F.col("block_at"))
+    met = cut.join(mixed.select("sid", "block", "turn", "words"), ["sid", "block"]).withColumn("words", words).filter("words > 0")
+    # Alike rows share a key, so their takes are told apart by place.
+    takes = met.groupBy("_row", "at").agg(F.collect_list(F.struct("turn", "start", "words")).alias("_takes")).withColumnRenamed("_row", "_key").drop("at")
+    once = keyed.dropDuplicates(["_row"])
+    joined = once.join(takes, F.col("_row") == F.col("_key")).select(*columns, "_takes")
+    sized = "n_chars" in columns
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 256):
+                part = b.slice(low, 256)
+                texts = [cut_pieces(t, k) for t, k in zip(part.column("text").to_pylist(), part.column("_takes").to_pylist())]
+                rows = part.drop_columns(["_takes"]).take(pa.array([i for i, x in enumerate(texts) for _ in x], pa.int64()))
+                flat = pa.array([x for xs in texts for x in xs], pa.string())
+                rows = rows.set_column(rows.schema.get_field_index("text"), "text", flat)
+                if sized:
+                    n = pa.compute.utf8_length(flat).cast(rows.schema.field("n_chars").type)
+                    rows = rows.set_column(rows.schema.get_field_index("n_chars"), "n_chars", n)
+                yield rows
+
+    return joined.mapInArrow(out, docs.schema)
 
 
 def totals(placed: DataFrame, mixed: DataFrame, *, block_words: int = 256) -> DataFrame:

@@ -34,6 +34,8 @@ LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 LATIN_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN_SPACES = "\t-\r \x85\xa0"
 
+#: A table of counts of at most so many rows (three numbers each) is broadcast.
+BROADCAST_ROWS = 1_000_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, worker long, place long"
 
 
@@ -157,6 +159,8 @@ def assign(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     first = counts.select("worker", "length", F.coalesce(F.sum("made").over(before), F.lit(0)).alias("first"))
     totals = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("made")).collect()}
     ends = pieces.sparkSession.createDataFrame(shared_ends(totals, capacity), "length long, full long, end_id long, end_at long")
+    if first.count() <= BROADCAST_ROWS:  # else pieces are shuffled with their ids
+        first = F.broadcast(first)
     each = F.floor(F.lit(capacity) / F.col("length"))
     index = F.col("first") + F.col("place")
     own, within = index < F.col("full"), (index % each) * F.col("length")
