@@ -7,10 +7,10 @@ number), be that one kept or not. Sets of fewer than ``min_tokens`` tokens are
 left alone.
 
 Tokens are 64-bit hashes in an order by rarity: counts over all documents in
-4,096 hash classes, the rarest class first, then the hash. The prefix of a set
+16,384 hash classes, the rarest class first, then the hash. The prefix of a set
 (its n - ceil(0.8 n) + 1 rarest tokens) must meet the prefix of any match. Sets
 that share a prefix token are filtered by length, by the tokens' positions and
-by a 64-bit parity bitmap that bounds the difference from below; what is left
+by a parity bitmap of 64 or 256 bits that bounds the difference from below; what is left
 is verified on the whole sets. Lines of one set stand as its first.
 
 A group of many like lines would join with itself in all pairs. So a first
@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-CLASSES = 4096
+CLASS_BITS = 14
+CLASSES = 1 << CLASS_BITS
+#: Sets of so many tokens and more have a bitmap of 256 bits, smaller ones of 64.
+WIDE = 72
 SPACES = r"[\x20\x09-\x0D]+"
 #: A side of at most so many rows of a few numbers is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -42,8 +45,8 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def class_of(h: Column) -> Column:
-    """The class of a hash: its 12 leading bits."""
-    return F.shiftrightunsigned(h, 52).cast("int")
+    """The class of a hash: its leading bits."""
+    return F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -55,9 +58,9 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def token_set(line: Column, places: Column) -> Column:
-    """Sorted distinct token keys: 12 bits of the class's place, 52 bits of the hash."""
+    """Sorted distinct token keys: leading bits the class's place, the others those of the hash."""
     hashes = F.transform(F.array_remove(F.split(line, SPACES), ""), lambda t: F.xxhash64(t))
-    keyed = F.transform(hashes, lambda h: F.shiftleft(F.get(places, class_of(h)).cast("long"), 52).bitwiseOR(h.bitwiseAND(F.lit((1 << 52) - 1))))
+    keyed = F.transform(hashes, lambda h: F.shiftleft(F.get(places, class_of(h)).cast("long"), 64 - CLASS_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << 64 - CLASS_BITS) - 1))))
     return F.sort_array(F.array_distinct(keyed))
 
 
@@ -70,8 +73,20 @@ def sets_of(docs: DataFrame, places: Column, min_tokens: int) -> DataFrame:
     return lines_of(docs).select("doc_id", "line_no", token_set(F.col("line"), places).alias("keys")).withColumn("n", F.size("keys")).filter(F.col("n") >= min_tokens).withColumn("set_id", F.xxhash64("keys"))
 
 
-def bitmap(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+WORDS = ("w0", "w1", "w2", "w3")
+
+
+def bitmaps(keys: Column, n: Column) -> list[Column]:
+    """The parity bitmap of a set: w0 alone, or w0 to w3 for wide sets (whose exclusive or is the narrow bitmap)."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    none, wide = F.lit(0).cast("long"), n >= WIDE
+
+    def word(i: int) -> Column:
+        own = lambda k: F.when(k.bitwiseAND(F.lit(192)) == 64 * i, bit(k)).otherwise(none)
+        part = F.aggregate(keys, none, lambda a, k: a.bitwiseXOR(own(k)))
+        return F.when(wide, part).otherwise(F.aggregate(keys, none, lambda a, k: a.bitwiseXOR(bit(k))) if i == 0 else none)
+
+    return [word(i).alias(w) for i, w in enumerate(WORDS)]
 
 
 def overlap_needed(a: Column, b: Column) -> Column:
@@ -79,10 +94,13 @@ def overlap_needed(a: Column, b: Column) -> Column:
     return F.floor((4 * (a + b) + 8) / 9)
 
 
-def may_match(n: Column, m: Column, p: Column, q: Column, b: Column, c: Column) -> Column:
+def may_match(n: Column, m: Column, p: Column, q: Column, x: list[Column], y: list[Column]) -> Column:
     """Length, position and bitmap filters for sets of n and m tokens that share the tokens at p and q (from 0)."""
     need = overlap_needed(n, m)
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (F.least(p, q) + 1 + F.least(n - p, m - q) - 1 >= need) & (F.bit_count(b.bitwiseXOR(c)) <= n + m - 2 * need)
+    ones = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    fold = lambda w: w[0].bitwiseXOR(w[1]).bitwiseXOR(w[2]).bitwiseXOR(w[3])
+    apart = F.when((n >= WIDE) & (m >= WIDE), ones(x[0], y[0]) + ones(x[1], y[1]) + ones(x[2], y[2]) + ones(x[3], y[3])).otherwise(ones(fold(x), fold(y)))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (F.least(p, q) + 1 + F.least(n - p, m - q) - 1 >= need) & (apart <= n + m - 2 * need)
 
 
 def verified(docs: DataFrame, places: Column, min_tokens: int, pairs: DataFrame) -> DataFrame:
@@ -103,26 +121,26 @@ def gone_sets(docs: DataFrame, *, min_tokens: int = 5) -> tuple[DataFrame, DataF
     """Stored tables: all lines that take part (doc_id, line_no, set_id), and of each set the first place and whether it goes."""
     places = rarity(docs)
     prefix = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
-    lines = sets_of(docs, places, min_tokens).select("doc_id", "line_no", "set_id", "n", bitmap(F.col("keys")).alias("b"), F.col("keys")[0].alias("k0"), F.col("keys")[1].alias("k1"))
+    lines = sets_of(docs, places, min_tokens).select("doc_id", "line_no", "set_id", "n", *bitmaps(F.col("keys"), F.col("n")), F.col("keys")[0].alias("k0"), F.col("keys")[1].alias("k1"))
     lines = stored(lines, "lines")
-    sets = stored(lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(c).alias(c) for c in ("n", "b", "k0", "k1"))), "firsts")
+    sets = stored(lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(c).alias(c) for c in ("n", *WORDS, "k0", "k1"))), "firsts")
     # First round: with the first and the previous set that share one of the two rarest tokens.
-    near = sets.select("set_id", "first", "n", "b", F.posexplode(F.array("k0", "k1")).alias("p", "k"))
+    near = sets.select("set_id", "first", "n", *WORDS, F.posexplode(F.array("k0", "k1")).alias("p", "k"))
     order = Window.partitionBy("k").orderBy("first", "set_id")
-    me = F.struct("set_id", "first", "n", "b", "p")
+    me = F.struct("set_id", "first", "n", *WORDS, "p")
     asked = near.withColumn("o1", F.first(me).over(order)).withColumn("o2", F.lag(me).over(order))
     asked = asked.withColumn("o", F.explode(F.array("o1", "o2"))).filter("o.set_id != set_id")
-    ok = may_match(F.col("n"), F.col("o.n"), F.col("p"), F.col("o.p"), F.col("b"), F.col("o.b"))
+    ok = may_match(F.col("n"), F.col("o.n"), F.col("p"), F.col("o.p"), [F.col(w) for w in WORDS], [F.col(f"o.{w}") for w in WORDS])
     pairs = asked.filter(ok).select(F.col("set_id").alias("late_set"), F.col("first").alias("late"), F.col("o.set_id").alias("early_set"), F.col("o.first").alias("early")).distinct()
     gone = stored(verified(docs, places, min_tokens, pairs), "gone")
     # Second round: what is not gone asks all sets that share a prefix token.
     settled = gone.withColumn("settled", F.lit(True))
-    open_ = sets_of(docs, places, min_tokens).select("set_id", "n", bitmap(F.col("keys")).alias("b"), F.slice("keys", 1, prefix.cast("int")).alias("head"))
+    open_ = sets_of(docs, places, min_tokens).select("set_id", "n", *bitmaps(F.col("keys"), F.col("n")), F.slice("keys", 1, prefix.cast("int")).alias("head"))
     flagged = open_.join(small(settled), "set_id", "left")
-    posted = flagged.select(F.posexplode("head").alias("p", "k"), "set_id", "b", (F.col("n") * 2 + F.coalesce(F.col("settled"), F.lit(False)).cast("int")).alias("ns")).groupBy("k", "set_id").agg(F.min("p").alias("p"), F.min("b").alias("b"), F.min("ns").alias("ns"))
-    x = posted.select("k", F.col("set_id").alias("xs"), F.col("p").alias("xp"), F.col("b").alias("xb"), F.floor(F.col("ns") / 2).alias("xn"), (F.col("ns") % 2).alias("xd"))
-    y = posted.select("k", F.col("set_id").alias("ys"), F.col("p").alias("yp"), F.col("b").alias("yb"), F.floor(F.col("ns") / 2).alias("yn"), (F.col("ns") % 2).alias("yd"))
-    meet = (x["k"] == y["k"]) & (F.col("xs") < F.col("ys")) & (F.col("xd") + F.col("yd") < 2) & may_match(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), F.col("xb"), F.col("yb"))
+    posted = flagged.select(F.posexplode("head").alias("p", "k"), "set_id", *WORDS, (F.col("n") * 2 + F.coalesce(F.col("settled"), F.lit(False)).cast("int")).alias("ns")).groupBy("k", "set_id").agg(F.min("p").alias("p"), *(F.min(w).alias(w) for w in WORDS), F.min("ns").alias("ns"))
+    x = posted.select("k", F.col("set_id").alias("xs"), F.col("p").alias("xp"), *(F.col(w).alias(f"x{w}") for w in WORDS), F.floor(F.col("ns") / 2).alias("xn"), (F.col("ns") % 2).alias("xd"))
+    y = posted.select("k", F.col("set_id").alias("ys"), F.col("p").alias("yp"), *(F.col(w).alias(f"y{w}") for w in WORDS), F.floor(F.col("ns") / 2).alias("yn"), (F.col("ns") % 2).alias("yd"))
+    meet = (x["k"] == y["k"]) & (F.col("xs") < F.col("ys")) & (F.col("xd") + F.col("yd") < 2) & may_match(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), [F.col(f"x{w}") for w in WORDS], [F.col(f"y{w}") for w in WORDS])
     met = stored(x.join(y, meet).select("xs", "ys").distinct(), "met")
     of = sets.select("set_id", "first")
     placed = met.join(of.select(F.col("set_id").alias("xs"), F.col("first").alias("xf")), "xs").join(of.select(F.col("set_id").alias("ys"), F.col("first").alias("yf")), "ys")
