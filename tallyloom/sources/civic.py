@@ -107,6 +107,8 @@ def oracle(sql: str) -> str:
     want(sql)
     body = sql.strip()
     ctes = [f"{n} AS ({ROLES[n]})" for n in need]
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(ctes)}, {body[15:]}" if ctes else body
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join(ctes)}, {body[5:]}" if ctes else body
     return f"WITH {', '.join(ctes)} {body}" if ctes else body
