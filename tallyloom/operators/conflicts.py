@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,3 +157,33 @@ def decider_supplier_rates(t) -> DataFrame:
     v = cast_votes(t).agg(F.count_distinct(F.when(on_tender, F.col("motion_id"))).alias("voted"), count_if(on_tender).alias("votes_on_tender_motions"), count_if(on_tender & F.col("declared_interest")).alias("d"), count_if(F.col("declared_interest")).alias("all_d"), F.count(F.lit(1)).alias("n"))
     m = t.motions.agg(count_if(on_tender).alias("tender_motions"))
     return v.withColumn("k", F.lit(1)).join(m.withColumn("k", F.lit(1)), "k").select("tender_motions", "votes_on_tender_motions", (F.col("d") / F.col("votes_on_tender_motions")).alias("declared_rate"), (F.col("all_d") / F.col("n")).alias("base_rate"))
+
+
+@named("""SELECT a.meeting_id, a.item_number, a.id AS agenda_motion_id, b.id AS minutes_motion_id, b.outcome IN ('lost', 'deferred') AS diverged FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, item_number ORDER BY id DESC) AS rn FROM motions WHERE id % 2 = 0) a
+    JOIN (SELECT *, row_number() OVER (PARTITION BY meeting_id, item_number ORDER BY id DESC) AS rn FROM motions WHERE id % 2 = 0 AND id % 3 = 0) b ON a.meeting_id = b.meeting_id AND trim(a.item_number) = trim(b.item_number) AND a.rn = 1 AND b.rn = 1""")
+def officer_divergence_exact(t) -> DataFrame:
+    """Agenda and minutes items of one date matched by trimmed number; the last of a number wins."""
+    last = lambda df, name: df.withColumn("rn", F.row_number().over(Window.partitionBy("meeting_id", "item_number").orderBy(F.desc("id")))).filter("rn = 1").select("meeting_id", F.trim("item_number").alias("item_number"), F.col("id").alias(name), "outcome")
+    a = last(t.motions.filter("id % 2 = 0"), "agenda_motion_id").drop("outcome")
+    b = last(t.motions.filter("id % 2 = 0 AND id % 3 = 0"), "minutes_motion_id")
+    return a.join(b, ["meeting_id", "item_number"]).select("meeting_id", "item_number", "agenda_motion_id", "minutes_motion_id", F.col("outcome").isin("lost", "deferred").alias("diverged"))
+
+
+@named()
+def officer_divergence_fuzzy(t) -> DataFrame:
+    """Items without a number match, by the best title likeness of the date (at least 0.5, first of equals).
+
+    The likeness is that of difflib, which SQL does not have; both sides meet by date only.
+    """
+    a = t.motions.filter("id % 8 = 0").select("meeting_id", F.col("id").alias("agenda_id"), F.concat("title", F.lit(" "), "tags").alias("agenda_title"))
+    b = t.motions.filter("id % 8 = 1").select("meeting_id", F.col("id").alias("minutes_id"), F.concat("title", F.lit(" "), "tags").alias("minutes_title"))
+
+    @F.pandas_udf("double")
+    def like(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, p.lower(), q.lower()).ratio() for p, q in zip(x, y)])
+
+    met = a.join(b, "meeting_id").withColumn("confidence", like("agenda_title", "minutes_title")).filter("confidence >= 0.5")
+    w = Window.partitionBy("agenda_id").orderBy(F.desc("confidence"), "minutes_id")
+    return met.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("meeting_id", "agenda_id", "minutes_id", "confidence")
