@@ -6,8 +6,8 @@ more; a line goes if it matches an earlier line (by document id, then line
 number), be that one kept or not. Sets of fewer than ``min_tokens`` tokens are
 left alone.
 
-Tokens are 64-bit hashes in an order by rarity: counts over all documents in
-16,384 hash classes, the rarest class first, then the hash. The prefix of a set
+Tokens are 64-bit keys in an order by rarity: counts over all documents in
+16,384 hash classes, the rarest class first, then another hash. The prefix of a set
 (its n - ceil(0.8 n) + 1 rarest tokens) must meet the prefix of any match. Sets
 that share a prefix token are filtered by length, by the tokens' positions and
 by a parity bitmap of 64 or 256 bits that bounds the difference from below; what is left
@@ -44,35 +44,30 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def class_of(h: Column) -> Column:
-    """The class of a hash: its leading bits."""
-    return F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")
+def class_of(token: Column) -> Column:
+    return F.hash(token).bitwiseAND(F.lit(CLASSES - 1))
 
 
 def rarity(docs: DataFrame) -> Column:
     """A constant array: the place of each hash class in the order of its count. The driver gets one count a class."""
     words = docs.select(F.explode(F.split("text", SPACES)).alias("w")).filter("w != ''")
-    counts = dict(words.groupBy(class_of(F.xxhash64("w")).alias("c")).count().collect())
+    counts = dict(words.groupBy(class_of(F.col("w")).alias("c")).count().collect())
     place = {c: i for i, c in enumerate(sorted(range(CLASSES), key=lambda c: (counts.get(c, 0), c)))}
     return F.expr(f"array({','.join(str(place[c] - CLASSES // 2) for c in range(CLASSES))})")
 
 
 def token_set(line: Column, places: Column) -> Column:
-    """Sorted distinct token keys: leading bits the class's place, the others those of the hash."""
-    hashes = F.transform(F.array_remove(F.split(line, SPACES), ""), lambda t: F.xxhash64(t))
-    keyed = F.transform(hashes, lambda h: F.shiftleft(F.get(places, class_of(h)).cast("long"), 64 - CLASS_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << 64 - CLASS_BITS) - 1))))
-    return F.sort_array(F.array_distinct(keyed))
+    """Sorted distinct token keys of 64 bits: first the place of the token's class, then bits of another hash."""
+    rest = 64 - CLASS_BITS
+    place = lambda t: F.call_function("shiftleft", F.get(places, class_of(t)).cast("long"), F.lit(rest))
+    tokens = F.array_remove(F.split(line, SPACES), "")
+    return F.sort_array(F.array_distinct(F.transform(tokens, lambda t: place(t).bitwiseOR(F.xxhash64(t).bitwiseAND(F.lit((1 << rest) - 1))))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def sets_of(docs: DataFrame, places: Column, min_tokens: int) -> DataFrame:
-    """(doc_id, line_no, keys, n, set_id) of the lines that take part."""
-    return lines_of(docs).select("doc_id", "line_no", token_set(F.col("line"), places).alias("keys")).withColumn("n", F.size("keys")).filter(F.col("n") >= min_tokens).withColumn("set_id", F.xxhash64("keys"))
-
-
 WORDS = ("w0", "w1", "w2", "w3")
 
 
@@ -103,7 +98,7 @@ def may_match(n: Column, m: Column, p: Column, q: Column, x: list[Column], y: li
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (F.least(p, q) + 1 + F.least(n - p, m - q) - 1 >= need) & (apart <= n + m - 2 * need)
 
 
-def verified(docs: DataFrame, places: Column, min_tokens: int, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, places: Column, pairs: DataFrame) -> DataFrame:
     """``late_set`` of the pairs (late_set, late, early_set, early) that do match; early and late are places (doc_id, line_no)."""
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("late.doc_id").alias("doc_id"), F.col("late.line_no").alias("line_no")).unionByName(pairs.select(F.col("early.doc_id").alias("doc_id"), F.col("early.line_no").alias("line_no"))).distinct()
@@ -117,41 +112,63 @@ def verified(docs: DataFrame, places: Column, min_tokens: int, pairs: DataFrame)
     return both.filter(9 * common >= 4 * (F.size("late_keys") + F.size("early_keys"))).select(F.col("late_set").alias("set_id")).distinct()
 
 
+def line_sets(docs: DataFrame, places: Column) -> DataFrame:
+    """Stored, a row a line: place, set id, size, bitmap and prefix of its set. Whole texts are cut into tokens once.
+
+    No filter stands on the sets before they are stored: it would be pushed
+    below and have them made twice.
+    """
+    keyed = lines_of(docs).select("doc_id", "line_no", token_set(F.col("line"), places).alias("keys")).withColumn("n", F.size("keys"))
+    prefix = (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int")
+    return stored(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("set_id"), "n", *bitmaps(F.col("keys"), F.col("n")), F.slice("keys", 1, prefix).alias("head")), "lines")
+
+
+def postings(lines: DataFrame, sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """(k, set_id, p, ns, bitmap) for each prefix token of each set, dealt by k; ns is twice the size, plus one if the set is gone.
+
+    Copies of a set go before they are posted if the list of their places is
+    small enough to be sent along; else while posting, by an aggregate.
+    """
+    settled = small(gone.withColumn("settled", F.lit(True)))
+    copies = stored(lines.select("doc_id", "line_no", "set_id").join(sets.select("set_id", "first"), "set_id").filter(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no"), "copies")
+    few = copies.count() <= BROADCAST_ROWS
+    once = lines.join(F.broadcast(copies), ["doc_id", "line_no"], "left_anti") if few else lines
+    flagged = once.join(settled, "set_id", "left")
+    ns = F.col("n") * 2 + F.coalesce(F.col("settled"), F.lit(False)).cast("int")
+    posted = flagged.select(F.posexplode("head").alias("p", "k"), "set_id", ns.alias("ns"), *WORDS).withColumn("k", F.hash("k"))
+    if few:
+        return posted.repartition("k")
+    return posted.groupBy("k", "set_id").agg(F.min("p").alias("p"), F.min("ns").alias("ns"), *(F.min(w).alias(w) for w in WORDS))
+
+
 def gone_sets(docs: DataFrame, *, min_tokens: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Stored tables: all lines that take part (doc_id, line_no, set_id), and of each set the first place and whether it goes."""
+    """Tables of all lines that take part (doc_id, line_no, set_id), and of each set its first place and whether it goes."""
     places = rarity(docs)
-    prefix = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
-    lines = sets_of(docs, places, min_tokens).select("doc_id", "line_no", "set_id", "n", *bitmaps(F.col("keys"), F.col("n")), F.col("keys")[0].alias("k0"), F.col("keys")[1].alias("k1"))
-    lines = stored(lines, "lines")
-    sets = stored(lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(c).alias(c) for c in ("n", *WORDS, "k0", "k1"))), "firsts")
+    lines = line_sets(docs, places).filter(F.col("n") >= min_tokens)
+    sets = stored(lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(c).alias(c) for c in ("n", *WORDS)), F.first(F.get("head", F.lit(0))).alias("k0"), F.first(F.get("head", F.lit(1))).alias("k1")), "firsts")
     # First round: with the first and the previous set that share one of the two rarest tokens.
-    near = sets.select("set_id", "first", "n", *WORDS, F.posexplode(F.array("k0", "k1")).alias("p", "k"))
+    near = sets.select("set_id", "first", "n", *WORDS, F.posexplode(F.array("k0", "k1")).alias("p", "k")).filter("k IS NOT NULL")
     order = Window.partitionBy("k").orderBy("first", "set_id")
     me = F.struct("set_id", "first", "n", *WORDS, "p")
     asked = near.withColumn("o1", F.first(me).over(order)).withColumn("o2", F.lag(me).over(order))
     asked = asked.withColumn("o", F.explode(F.array("o1", "o2"))).filter("o.set_id != set_id")
     ok = may_match(F.col("n"), F.col("o.n"), F.col("p"), F.col("o.p"), [F.col(w) for w in WORDS], [F.col(f"o.{w}") for w in WORDS])
     pairs = asked.filter(ok).select(F.col("set_id").alias("late_set"), F.col("first").alias("late"), F.col("o.set_id").alias("early_set"), F.col("o.first").alias("early")).distinct()
-    gone = stored(verified(docs, places, min_tokens, pairs), "gone")
+    gone = stored(verified(docs, places, pairs), "gone")
     # Second round: what is not gone asks all sets that share a prefix token.
-    settled = gone.withColumn("settled", F.lit(True))
-    open_ = sets_of(docs, places, min_tokens).select("set_id", "n", *bitmaps(F.col("keys"), F.col("n")), F.slice("keys", 1, prefix.cast("int")).alias("head"))
-    flagged = open_.join(small(settled), "set_id", "left")
-    posted = flagged.select(F.posexplode("head").alias("p", "k"), "set_id", *WORDS, (F.col("n") * 2 + F.coalesce(F.col("settled"), F.lit(False)).cast("int")).alias("ns")).groupBy("k", "set_id").agg(F.min("p").alias("p"), *(F.min(w).alias(w) for w in WORDS), F.min("ns").alias("ns"))
-    x = posted.select("k", F.col("set_id").alias("xs"), F.col("p").alias("xp"), *(F.col(w).alias(f"x{w}") for w in WORDS), F.floor(F.col("ns") / 2).alias("xn"), (F.col("ns") % 2).alias("xd"))
-    y = posted.select("k", F.col("set_id").alias("ys"), F.col("p").alias("yp"), *(F.col(w).alias(f"y{w}") for w in WORDS), F.floor(F.col("ns") / 2).alias("yn"), (F.col("ns") % 2).alias("yd"))
-    meet = (x["k"] == y["k"]) & (F.col("xs") < F.col("ys")) & (F.col("xd") + F.col("yd") < 2) & may_match(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), [F.col(f"x{w}") for w in WORDS], [F.col(f"y{w}") for w in WORDS])
-    met = stored(x.join(y, meet).select("xs", "ys").distinct(), "met")
+    posted = postings(lines, sets, gone)
+    side = lambda c: posted.select(F.col("k").alias(f"{c}k"), F.col("set_id").alias(f"{c}s"), F.col("p").alias(f"{c}p"), F.floor(F.col("ns") / 2).alias(f"{c}n"), (F.col("ns") % 2).alias(f"{c}d"), *(F.col(w).alias(f"{c}{w}") for w in WORDS))
+    meet = (F.col("xk") == F.col("yk")) & (F.col("xs") < F.col("ys")) & (F.col("xd") + F.col("yd") < 2) & may_match(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), [F.col(f"x{w}") for w in WORDS], [F.col(f"y{w}") for w in WORDS])
+    met = stored(side("x").join(side("y"), meet).select("xs", "ys").distinct(), "met")
     of = sets.select("set_id", "first")
     placed = met.join(of.select(F.col("set_id").alias("xs"), F.col("first").alias("xf")), "xs").join(of.select(F.col("set_id").alias("ys"), F.col("first").alias("yf")), "ys")
     x_late = F.col("xf") > F.col("yf")
-    turned = placed.filter("xf != yf").select(
-        F.when(x_late, F.col("xs")).otherwise(F.col("ys")).alias("late_set"), F.when(x_late, F.col("xf")).otherwise(F.col("yf")).alias("late"), F.when(x_late, F.col("ys")).otherwise(F.col("xs")).alias("early_set"), F.when(x_late, F.col("yf")).otherwise(F.col("xf")).alias("early")
-    )
+    either = lambda a, b: F.when(x_late, F.col(a)).otherwise(F.col(b))
+    turned = placed.filter("xf != yf").select(either("xs", "ys").alias("late_set"), either("xf", "yf").alias("late"), either("ys", "xs").alias("early_set"), either("yf", "xf").alias("early"))
     rest = turned.join(gone.select(F.col("set_id").alias("late_set")), "late_set", "left_anti")
-    more = verified(docs, places, min_tokens, rest)
-    every = gone.unionByName(more).distinct().withColumn("goes", F.lit(True))
-    return lines.select("doc_id", "line_no", "set_id"), stored(sets.select("set_id", "first").join(every, "set_id", "left").withColumn("goes", F.coalesce("goes", F.lit(False))), "verdicts")
+    every = gone.unionByName(verified(docs, places, rest)).distinct().withColumn("goes", F.lit(True))
+    verdicts = stored(of.join(every, "set_id", "left").withColumn("goes", F.coalesce("goes", F.lit(False))), "verdicts")
+    return lines.select("doc_id", "line_no", "set_id"), verdicts
 
 
 def dedup(docs: DataFrame, *, min_tokens: int = 5) -> DataFrame:
