@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, ratio
@@ -13,7 +13,12 @@ from .people import cast_votes
 
 # Era bounds are a default of this library: the years of the inquiry, both inclusive.
 INQUIRY = (1997, 1998)
-ERA = F.when(F.col("year") < INQUIRY[0], "pre").when(F.col("year") <= INQUIRY[1], "inquiry").otherwise("post")
+
+
+def era() -> Column:
+    return F.when(F.col("year") < INQUIRY[0], "pre").when(F.col("year") <= INQUIRY[1], "inquiry").otherwise("post")
+
+
 _ERA = "CASE WHEN year < 1997 THEN 'pre' WHEN year <= 1998 THEN 'inquiry' ELSE 'post' END"
 
 _LINKED = """SELECT v.id AS vote_id, v.motion_id, v.councillor_id, v.choice, m.meeting_id, m.year, d.id AS declaration_id, d.interest_type, d.description, v.choice = 'absent' OR coalesce(regexp_matches(d.description, '(?i)\\bleft the (meeting|room)\\b'), false) AS recused
@@ -54,7 +59,7 @@ def recusal_profiles(t) -> DataFrame:
 
 @named(f"""WITH l AS ({_LINKED}) SELECT coalesce(interest_type, 'none') AS interest_type, {_ERA} AS era, count(*) AS declared, count(CASE WHEN recused THEN 1 END) / count(*) AS recusal_rate, count(CASE WHEN contains(coalesce(description, ''), '5.69') THEN 1 END) AS ministerial FROM l GROUP BY 1, 2""")
 def recusal_trend(t) -> DataFrame:
-    return linked(t).groupBy(F.coalesce("interest_type", F.lit("none")).alias("interest_type"), ERA.alias("era")).agg(F.count(F.lit(1)).alias("declared"), (count_if(F.col("recused")) / F.count(F.lit(1))).alias("recusal_rate"), count_if(F.coalesce("description", F.lit("")).contains("5.69")).alias("ministerial"))
+    return linked(t).groupBy(F.coalesce("interest_type", F.lit("none")).alias("interest_type"), era().alias("era")).agg(F.count(F.lit(1)).alias("declared"), (count_if(F.col("recused")) / F.count(F.lit(1))).alias("recusal_rate"), count_if(F.coalesce("description", F.lit("")).contains("5.69")).alias("ministerial"))
 
 
 @named(f"""WITH l AS ({_LINKED}) SELECT year, count(*) AS declared, CASE WHEN count(CASE WHEN interest_type IN ('financial', 'proximity') THEN 1 END) >= 4 THEN count(CASE WHEN interest_type IN ('financial', 'proximity') AND recused THEN 1 END) / count(CASE WHEN interest_type IN ('financial', 'proximity') THEN 1 END) END AS must_leave_rate FROM l GROUP BY 1""")
@@ -136,17 +141,20 @@ def topic_lift(t) -> DataFrame:
 
 
 _ANSWER = "CASE WHEN response IS NULL OR trim(response) = '' THEN 'blank' WHEN regexp_matches(response, '(?i)(taken|took) on notice') THEN 'on_notice' ELSE 'answered' END"
-ANSWER = F.when(F.col("response").isNull() | (F.trim("response") == ""), "blank").when(F.col("response").rlike(ON_NOTICE), "on_notice").otherwise("answered")
+
+
+def answer() -> Column:
+    return F.when(F.col("response").isNull() | (F.trim("response") == ""), "blank").when(F.col("response").rlike(ON_NOTICE), "on_notice").otherwise("answered")
 
 
 @named(f"""SELECT {_ERA} AS era, {_ANSWER} AS status, count(*) AS n FROM questions GROUP BY 1, 2""")
 def question_responsiveness(t) -> DataFrame:
-    return t.questions.groupBy(ERA.alias("era"), ANSWER.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return t.questions.groupBy(era().alias("era"), answer().alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @named(f"""SELECT year, count(*) AS n, CASE WHEN count(CASE WHEN {_ANSWER} <> 'blank' THEN 1 END) >= 15 THEN count(CASE WHEN {_ANSWER} = 'on_notice' THEN 1 END) / count(CASE WHEN {_ANSWER} <> 'blank' THEN 1 END) END AS on_notice_rate FROM questions GROUP BY 1""")
 def questions_by_year(t) -> DataFrame:
-    y = t.questions.groupBy(F.col("year")).agg(F.count(F.lit(1)).alias("n"), count_if(ANSWER != "blank").alias("b"), count_if(ANSWER == "on_notice").alias("o"))
+    y = t.questions.groupBy(F.col("year")).agg(F.count(F.lit(1)).alias("n"), count_if(answer() != "blank").alias("b"), count_if(answer() == "on_notice").alias("o"))
     return y.select("year", "n", F.when(F.col("b") >= 15, F.col("o") / F.col("b")).alias("on_notice_rate"))
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, first_rows, ratio, tags_of, top
 from ..registry import named
 
 AS_OF = "2001-08-01"  # the flag "active" takes a date, never the clock
-TERM = (F.floor((F.col("year") - 1995) / 4) * 4 + 1995).cast("int")
+
+
+def term() -> Column:
+    """First year of the four-year term of ``year``."""
+    return (F.floor((F.col("year") - 1995) / 4) * 4 + 1995).cast("int")
 
 
 def cast_votes(t) -> DataFrame:
@@ -131,12 +135,13 @@ def dissent_profiles(t) -> DataFrame:
     return p.join(best, "councillor_id", "left").select("councillor_id", "total_votes_on_carried", "against_count", ratio(F.col("against_count"), F.col("total_votes_on_carried")).alias("dissent_rate"), F.coalesce("top_dissent_tags", F.lit("")).alias("top_dissent_tags"))
 
 
-_WON = (F.col("choice") == "for") & (F.col("outcome") == "carried") | (F.col("choice") == "against") & (F.col("outcome") == "lost")
+def won() -> Column:
+    return (F.col("choice") == "for") & (F.col("outcome") == "carried") | (F.col("choice") == "against") & (F.col("outcome") == "lost")
 
 
 def decided_votes(t) -> DataFrame:
     """For and against votes on contested motions that were carried or lost, with ``won``."""
-    return cast_votes(t).filter("choice IN ('for', 'against') AND outcome IN ('carried', 'lost') AND votes_against >= 1").withColumn("won", _WON)
+    return cast_votes(t).filter("choice IN ('for', 'against') AND outcome IN ('carried', 'lost') AND votes_against >= 1").withColumn("won", won())
 
 
 _DECIDED = """SELECT councillor_id, year, choice, outcome, (choice = 'for' AND outcome = 'carried') OR (choice = 'against' AND outcome = 'lost') AS won
@@ -154,7 +159,7 @@ def voting_power(t) -> DataFrame:
 @named(f"""WITH d AS (SELECT *, cast(floor((year - 1995) / 4) * 4 + 1995 AS int) AS term FROM ({_DECIDED}) x), p AS (SELECT councillor_id, term, count(*) AS n, count(CASE WHEN won THEN 1 END) / count(*) AS win_rate FROM d GROUP BY 1, 2 HAVING count(*) >= 10),
     k AS (SELECT councillor_id FROM p GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(n) DESC, councillor_id LIMIT 6) SELECT p.* FROM p JOIN k USING (councillor_id)""")
 def power_over_terms(t) -> DataFrame:
-    p = decided_votes(t).withColumn("term", TERM).groupBy("councillor_id", "term").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("won")).alias("w")).filter("n >= 10").select("councillor_id", "term", "n", (F.col("w") / F.col("n")).alias("win_rate"))
+    p = decided_votes(t).withColumn("term", term()).groupBy("councillor_id", "term").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("won")).alias("w")).filter("n >= 10").select("councillor_id", "term", "n", (F.col("w") / F.col("n")).alias("win_rate"))
     k = p.groupBy("councillor_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("all")).filter("terms >= 2").orderBy(F.desc("all"), "councillor_id").limit(6).select("councillor_id")
     return p.join(F.broadcast(k), "councillor_id", "left_semi")
 

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, first_rows, ratio
 from ..registry import named
 
-_APPROVED, _REFUSED = F.col("status") == "approved", F.col("status") == "refused"
+
+
+def approved() -> Column:
+    return F.col("status") == "approved"
+
+
+def refused() -> Column:
+    return F.col("status") == "refused"
+
+
 DECIDED = "status IN ('approved', 'refused')"
 
 
 @named("""SELECT count(*) AS total, count(CASE WHEN status = 'approved' THEN 1 END) AS approved, count(CASE WHEN status = 'refused' THEN 1 END) AS refused, count(CASE WHEN status = 'deferred' THEN 1 END) AS deferred,
     count(CASE WHEN status = 'approved' THEN 1 END) / nullif(count(CASE WHEN status IN ('approved', 'refused') THEN 1 END), 0) AS approval_rate FROM applications""")
 def planning_outcomes(t) -> DataFrame:
-    return t.applications.agg(F.count(F.lit(1)).alias("total"), count_if(_APPROVED).alias("approved"), count_if(_REFUSED).alias("refused"), count_if(F.col("status") == "deferred").alias("deferred"), ratio(count_if(_APPROVED), count_if(_APPROVED | _REFUSED)).alias("approval_rate"))
+    return t.applications.agg(F.count(F.lit(1)).alias("total"), count_if(approved()).alias("approved"), count_if(refused()).alias("refused"), count_if(F.col("status") == "deferred").alias("deferred"), ratio(count_if(approved()), count_if(approved() | refused())).alias("approval_rate"))
 
 
 @named("SELECT site_id, count(*) AS n FROM applications GROUP BY 1 ORDER BY n DESC, site_id LIMIT 20")
@@ -31,7 +40,7 @@ def top_applicants(t) -> DataFrame:
 @named("""SELECT year, count(*) AS n_applications, count(CASE WHEN status IN ('approved', 'refused') THEN 1 END) AS decided, count(CASE WHEN status = 'approved' THEN 1 END) AS approved, count(CASE WHEN status = 'refused' THEN 1 END) AS refused,
     count(CASE WHEN status = 'approved' THEN 1 END) / nullif(count(CASE WHEN status IN ('approved', 'refused') THEN 1 END), 0) AS approval_rate FROM applications GROUP BY 1""")
 def planning_trend(t) -> DataFrame:
-    return t.applications.groupBy("year").agg(F.count(F.lit(1)).alias("n_applications"), count_if(_APPROVED | _REFUSED).alias("decided"), count_if(_APPROVED).alias("approved"), count_if(_REFUSED).alias("refused"), ratio(count_if(_APPROVED), count_if(_APPROVED | _REFUSED)).alias("approval_rate"))
+    return t.applications.groupBy("year").agg(F.count(F.lit(1)).alias("n_applications"), count_if(approved() | refused()).alias("decided"), count_if(approved()).alias("approved"), count_if(refused()).alias("refused"), ratio(count_if(approved()), count_if(approved() | refused())).alias("approval_rate"))
 
 
 @named("""SELECT o.application_id IS NOT NULL AS objected, count(*) AS n, count(CASE WHEN status = 'approved' THEN 1 END) / count(*) AS approval_rate FROM applications a LEFT JOIN (SELECT DISTINCT application_id FROM submissions WHERE lower(position) = 'object') o ON o.application_id = a.id
@@ -39,7 +48,7 @@ def planning_trend(t) -> DataFrame:
 def objection_exists(t) -> DataFrame:
     o = t.submissions.filter(F.lower("position") == "object").select(F.col("application_id").alias("id")).distinct().withColumn("o", F.lit(True))
     a = t.applications.filter(DECIDED).join(o, "id", "left").groupBy(F.coalesce("o", F.lit(False)).alias("objected"))
-    return a.agg(F.count(F.lit(1)).alias("n"), count_if(_APPROVED).alias("k")).select("objected", "n", (F.col("k") / F.col("n")).alias("approval_rate"))
+    return a.agg(F.count(F.lit(1)).alias("n"), count_if(approved()).alias("k")).select("objected", "n", (F.col("k") / F.col("n")).alias("approval_rate"))
 
 
 _BUCKET = "CASE WHEN n = 0 THEN '0' WHEN n = 1 THEN '1' WHEN n <= 4 THEN '2-4' ELSE '5+' END"
@@ -52,7 +61,7 @@ def objection_dose(t) -> DataFrame:
     a, s = t.applications.filter(DECIDED), t.submissions
     c = a.join(s, (F.col("application_id") == F.col("id")) & (F.lower("position") == "object"), "left").groupBy("id", "status").agg(F.count("application_id").alias("n"))
     bucket = F.when(F.col("n") == 0, "0").when(F.col("n") == 1, "1").when(F.col("n") <= 4, "2-4").otherwise("5+")
-    return c.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), count_if(_REFUSED).alias("refused")).withColumn("refusal_rate", F.col("refused") / F.col("n"))
+    return c.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), count_if(refused()).alias("refused")).withColumn("refusal_rate", F.col("refused") / F.col("n"))
 
 
 @named("""SELECT a.id AS application_id, applicant_name, estimated_value AS value, estimated_value IS NOT NULL AS value_recorded, coalesce(k, 0) AS objector_count, status AS outcome FROM applications a
@@ -78,7 +87,7 @@ def value_quartiles(t) -> DataFrame:
     rn = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("estimated_value", "id"))
     q = ranked.join(before, "part").withColumn("rn", rn)
     quartile = (F.least(F.floor((F.col("rn") - 1) / F.floor(F.col("n") / 4)), F.lit(3)) + 1).cast("int")
-    return q.groupBy(quartile.alias("quartile")).agg(F.count(F.lit(1)).alias("n"), (count_if(_APPROVED) / F.count(F.lit(1))).alias("approval_rate"), F.max("estimated_value").alias("top_value"))
+    return q.groupBy(quartile.alias("quartile")).agg(F.count(F.lit(1)).alias("n"), (count_if(approved()) / F.count(F.lit(1))).alias("approval_rate"), F.max("estimated_value").alias("top_value"))
 
 
 _FREQ = "CASE WHEN times = 1 THEN '1' WHEN times <= 3 THEN '2-3' WHEN times <= 6 THEN '4-6' ELSE '7+' END"
@@ -89,7 +98,7 @@ def applicant_frequency(t) -> DataFrame:
     times = t.applications.groupBy("applicant_name").agg(F.count(F.lit(1)).alias("times"))
     bucket = F.when(F.col("times") == 1, "1").when(F.col("times") <= 3, "2-3").when(F.col("times") <= 6, "4-6").otherwise("7+")
     a = t.applications.filter(DECIDED).join(times, "applicant_name").groupBy(bucket.alias("frequency"))
-    return a.agg(F.count(F.lit(1)).alias("n"), (count_if(_APPROVED) / F.count(F.lit(1))).alias("approval_rate"))
+    return a.agg(F.count(F.lit(1)).alias("n"), (count_if(approved()) / F.count(F.lit(1))).alias("approval_rate"))
 
 
 @named("""SELECT site_id % 40 AS street, count(DISTINCT site_id) AS sites, count(*) AS applications, string_agg(DISTINCT cast(site_id AS string), ',' ORDER BY cast(site_id AS string)) AS site_list FROM applications GROUP BY 1""")
