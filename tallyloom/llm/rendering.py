@@ -231,7 +231,13 @@ def render(root: Node, rules: tuple[frozenset, frozenset, frozenset]) -> str:
                     out.space()
             elif tag == "pre":
                 pre -= 1
-                out.space()
+                raw = "".join(out.line).rstrip()
+                out.line = []
+                if raw:
+                    if out.gap and out.done:
+                        out.done.append("")
+                    out.done.append(out.indent + out.mark + raw)
+                out.gap = True
             elif tag in SPACED:
                 out.space()
             elif tag in BLOCK:
@@ -302,7 +308,8 @@ def render(root: Node, rules: tuple[frozenset, frozenset, frozenset]) -> str:
                 out.text(node.attrs.get("value", ""))
             continue
         todo.append(("out", node))
-        todo.extend(("in", c) for c in reversed(node.children))
+        shut = tag == "details" and "open" not in node.attrs
+        todo.extend(("in", c) for c in reversed(node.children) if not (shut and isinstance(c, str)))
     out.end()
     while frames:  # cells left open
         cell, out = out.done, frames.pop()
