@@ -17,6 +17,7 @@ def windowed(events: DataFrame, length: str = "7 days") -> DataFrame:
 def stream(spark: SparkSession, path: str, sink: str, *, length: str = "7 days", late: str = "1 day"):
     """Starts a query that folds new files of ``path`` into windows and appends closed ones to the memory table ``sink``."""
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
     return windowed(source.withWatermark("ts", late), length).writeStream.format("memory").queryName(sink).outputMode("append").trigger(availableNow=True).start()
 
 
