@@ -7,16 +7,17 @@ number), be that one kept or not. Sets of fewer than ``min_tokens`` tokens are
 left alone.
 
 Tokens are 64-bit keys in an order by rarity: counts over all documents in
-16,384 hash classes, the rarest class first, then another hash. The prefix of a set
+65,536 hash classes, the rarest class first, then another hash. The prefix of a set
 (its n - ceil(0.8 n) + 1 rarest tokens) must meet the prefix of any match. Sets
 that share a prefix token are filtered by length, by the tokens' positions and
 by a parity bitmap of 64 or 256 bits that bounds the difference from below; what is left
 is verified on the whole sets. Lines of one set stand as its first.
 
 A group of many like lines would join with itself in all pairs. So a first
-round compares each set only with the first and the previous one that share
-one of its two rarest tokens, and what it finds to be gone asks no more in the
-second round, which joins all others with everything.
+round compares each set only with the first and the previous one that it meets
+at one of a few places (its rarest token, the last of its prefix, pairs of
+tokens further on), and what it finds to be gone asks no more in the second
+round, which joins all others with everything.
 
 Defined cases: null and empty texts have no lines to remove; documents with a
 null id are kept as they are and remove nothing; rows that share an id share
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-CLASS_BITS = 14
+CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
 #: Sets of so many tokens and more have a bitmap of 256 bits, smaller ones of 64.
 WIDE = 72
 SPACES = r"[\x20\x09-\x0D]+"
+#: Pairs of places in the order by rarity, as shares of the size, whose tokens bring like sets together in the first round.
+MEETINGS = ((0.3, 0.5), (0.25, 0.4), (0.35, 0.6), (0.45, 0.55), (0.5, 0.7))
 #: A side of at most so many rows of a few numbers is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,7 +56,7 @@ def rarity(docs: DataFrame) -> Column:
     words = docs.select(F.explode(F.split("text", SPACES)).alias("w")).filter("w != ''")
     counts = dict(words.groupBy(class_of(F.col("w")).alias("c")).count().collect())
     place = {c: i for i, c in enumerate(sorted(range(CLASSES), key=lambda c: (counts.get(c, 0), c)))}
-    return F.expr(f"array({','.join(str(place[c] - CLASSES // 2) for c in range(CLASSES))})")
+    return F.split(F.lit(",".join(str(place[c] - CLASSES // 2) for c in range(CLASSES))), ",").cast("array<int>")  # folded to one constant
 
 
 def token_set(line: Column, places: Column) -> Column:
@@ -120,11 +123,13 @@ def line_sets(docs: DataFrame, places: Column) -> DataFrame:
     """
     keyed = lines_of(docs).select("doc_id", "line_no", token_set(F.col("line"), places).alias("keys")).withColumn("n", F.size("keys"))
     prefix = (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int")
-    return stored(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("set_id"), "n", *bitmaps(F.col("keys"), F.col("n")), F.slice("keys", 1, prefix).alias("head")), "lines")
+    at = lambda share: F.get("keys", F.floor(F.col("n") * share).cast("int"))
+    meet = F.array(F.get("keys", F.lit(0)), F.get("keys", prefix - 1), *(F.xxhash64(at(a), at(b)) for a, b in MEETINGS))
+    return stored(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("set_id"), "n", *bitmaps(F.col("keys"), F.col("n")), F.slice("keys", 1, prefix).alias("head"), meet.alias("meet")), "lines")
 
 
 def postings(lines: DataFrame, sets: DataFrame, gone: DataFrame) -> DataFrame:
-    """(k, set_id, p, ns, bitmap) for each prefix token of each set, dealt by k; ns is twice the size, plus one if the set is gone.
+    """(k, set_id, first place, p, ns, bitmap) for each prefix token of each set, dealt by k; ns is twice the size, plus one if the set is gone.
 
     Copies of a set go before they are posted if the list of their places is
     small enough to be sent along; else while posting, by an aggregate.
@@ -135,19 +140,20 @@ def postings(lines: DataFrame, sets: DataFrame, gone: DataFrame) -> DataFrame:
     once = lines.join(F.broadcast(copies), ["doc_id", "line_no"], "left_anti") if few else lines
     flagged = once.join(settled, "set_id", "left")
     ns = F.col("n") * 2 + F.coalesce(F.col("settled"), F.lit(False)).cast("int")
-    posted = flagged.select(F.posexplode("head").alias("p", "k"), "set_id", ns.alias("ns"), *WORDS).withColumn("k", F.hash("k"))
+    posted = flagged.select(F.posexplode("head").alias("p", "k"), "set_id", "doc_id", "line_no", ns.alias("ns"), *WORDS).withColumn("k", F.hash("k"))
     if few:
         return posted.repartition("k")
-    return posted.groupBy("k", "set_id").agg(F.min("p").alias("p"), F.min("ns").alias("ns"), *(F.min(w).alias(w) for w in WORDS))
+    once = posted.groupBy("k", "set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("p").alias("p"), F.min("ns").alias("ns"), *(F.min(w).alias(w) for w in WORDS))
+    return once.select("k", "set_id", "at.doc_id", "at.line_no", "p", "ns", *WORDS)
 
 
 def gone_sets(docs: DataFrame, *, min_tokens: int = 5) -> tuple[DataFrame, DataFrame]:
     """Tables of all lines that take part (doc_id, line_no, set_id), and of each set its first place and whether it goes."""
     places = rarity(docs)
     lines = line_sets(docs, places).filter(F.col("n") >= min_tokens)
-    sets = stored(lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(c).alias(c) for c in ("n", *WORDS)), F.first(F.get("head", F.lit(0))).alias("k0"), F.first(F.get("head", F.lit(1))).alias("k1")), "firsts")
-    # First round: with the first and the previous set that share one of the two rarest tokens.
-    near = sets.select("set_id", "first", "n", *WORDS, F.posexplode(F.array("k0", "k1")).alias("p", "k")).filter("k IS NOT NULL")
+    sets = stored(lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(c).alias(c) for c in ("n", "meet", *WORDS))), "firsts")
+    # First round: with the first and the previous set met at one of a few places; positions say nothing here.
+    near = sets.select("set_id", "first", "n", *WORDS, F.lit(0).alias("p"), F.explode(F.array_distinct("meet")).alias("k")).filter("k IS NOT NULL")
     order = Window.partitionBy("k").orderBy("first", "set_id")
     me = F.struct("set_id", "first", "n", *WORDS, "p")
     asked = near.withColumn("o1", F.first(me).over(order)).withColumn("o2", F.lag(me).over(order))
@@ -157,15 +163,13 @@ def gone_sets(docs: DataFrame, *, min_tokens: int = 5) -> tuple[DataFrame, DataF
     gone = stored(verified(docs, places, pairs), "gone")
     # Second round: what is not gone asks all sets that share a prefix token.
     posted = postings(lines, sets, gone)
-    side = lambda c: posted.select(F.col("k").alias(f"{c}k"), F.col("set_id").alias(f"{c}s"), F.col("p").alias(f"{c}p"), F.floor(F.col("ns") / 2).alias(f"{c}n"), (F.col("ns") % 2).alias(f"{c}d"), *(F.col(w).alias(f"{c}{w}") for w in WORDS))
-    meet = (F.col("xk") == F.col("yk")) & (F.col("xs") < F.col("ys")) & (F.col("xd") + F.col("yd") < 2) & may_match(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), [F.col(f"x{w}") for w in WORDS], [F.col(f"y{w}") for w in WORDS])
-    met = stored(side("x").join(side("y"), meet).select("xs", "ys").distinct(), "met")
+    side = lambda df, c: df.select(F.col("k").alias(f"{c}k"), F.col("set_id").alias(f"{c}s"), F.col("doc_id").alias(f"{c}d"), F.col("line_no").alias(f"{c}l"), F.col("p").alias(f"{c}p"), F.floor(F.col("ns") / 2).alias(f"{c}n"), *(F.col(w).alias(f"{c}{w}") for w in WORDS))
+    before = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") < F.col("xl")))
+    meet = (F.col("xk") == F.col("yk")) & before & may_match(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), [F.col(f"x{w}") for w in WORDS], [F.col(f"y{w}") for w in WORDS])
+    met = side(posted.filter("ns % 2 = 0"), "x").join(side(posted, "y"), meet)
+    place = lambda c: F.struct(F.col(f"{c}d").alias("doc_id"), F.col(f"{c}l").alias("line_no"))
+    rest = met.groupBy("xs", "ys").agg(F.min("xd").alias("xd"), F.min("xl").alias("xl"), F.min("yd").alias("yd"), F.min("yl").alias("yl")).select(F.col("xs").alias("late_set"), place("x").alias("late"), F.col("ys").alias("early_set"), place("y").alias("early"))
     of = sets.select("set_id", "first")
-    placed = met.join(of.select(F.col("set_id").alias("xs"), F.col("first").alias("xf")), "xs").join(of.select(F.col("set_id").alias("ys"), F.col("first").alias("yf")), "ys")
-    x_late = F.col("xf") > F.col("yf")
-    either = lambda a, b: F.when(x_late, F.col(a)).otherwise(F.col(b))
-    turned = placed.filter("xf != yf").select(either("xs", "ys").alias("late_set"), either("xf", "yf").alias("late"), either("ys", "xs").alias("early_set"), either("yf", "xf").alias("early"))
-    rest = turned.join(gone.select(F.col("set_id").alias("late_set")), "late_set", "left_anti")
     every = gone.unionByName(verified(docs, places, rest)).distinct().withColumn("goes", F.lit(True))
     verdicts = stored(of.join(every, "set_id", "left").withColumn("goes", F.coalesce("goes", F.lit(False))), "verdicts")
     return lines.select("doc_id", "line_no", "set_id"), verdicts
