@@ -15,8 +15,7 @@ is verified on the whole sets. Lines of one set stand as its first.
 
 A group of many like lines would join with itself in all pairs. So a first
 round compares each set only with the first and the previous one that it meets
-at one of a few places (its rarest token, the last of its prefix, pairs of
-tokens further on), and what it finds to be gone asks no more in the second
+at one of a few places (its rarest token, pairs of tokens further on), and what it finds to be gone asks no more in the second
 round, which joins all others with everything.
 
 Defined cases: null and empty texts have no lines to remove; documents with a
@@ -38,7 +37,7 @@ CLASSES = 1 << CLASS_BITS
 WIDE = 72
 SPACES = r"[\x20\x09-\x0D]+"
 #: Pairs of places in the order by rarity, as shares of the size, whose tokens bring like sets together in the first round.
-MEETINGS = ((0.3, 0.5), (0.25, 0.4), (0.35, 0.6), (0.45, 0.55), (0.5, 0.7))
+MEETINGS = ((0.3, 0.5), (0.25, 0.4))
 #: A side of at most so many rows of a few numbers is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -124,7 +123,7 @@ def line_sets(docs: DataFrame, places: Column) -> DataFrame:
     keyed = lines_of(docs).select("doc_id", "line_no", token_set(F.col("line"), places).alias("keys")).withColumn("n", F.size("keys"))
     prefix = (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int")
     at = lambda share: F.get("keys", F.floor(F.col("n") * share).cast("int"))
-    meet = F.array(F.get("keys", F.lit(0)), F.get("keys", prefix - 1), *(F.xxhash64(at(a), at(b)) for a, b in MEETINGS))
+    meet = F.array(F.get("keys", F.lit(0)), *(F.xxhash64(at(a), at(b)) for a, b in MEETINGS))
     return stored(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("set_id"), "n", *bitmaps(F.col("keys"), F.col("n")), F.slice("keys", 1, prefix).alias("head"), meet.alias("meet")), "lines")
 
 
