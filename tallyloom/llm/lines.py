@@ -4,14 +4,15 @@ Native: DataFrame functions only. A line is the set of its tokens (runs without
 white space); two lines match if their sets have a Jaccard similarity of 0.8 or
 more; a line goes if it matches an earlier line (by document id, then line
 number), be that one kept or not. Sets of fewer than ``min_tokens`` tokens are
-left alone.
+left alone (1: every line with a token takes part).
 
 Tokens are 64-bit keys in an order by rarity: counts over all documents in
 65,536 hash classes, the rarest class first, then another hash. The prefix of a set
 (its n - ceil(0.8 n) + 1 rarest tokens) must meet the prefix of any match. Sets
 that share a prefix token are filtered by length, by the tokens' positions and
 by a parity bitmap of 64 or 256 bits that bounds the difference from below; what is left
-is verified on the whole sets. Lines of one set stand as its first.
+is verified on the whole sets. Lines of one set stand as its first. Sets of
+up to 3 tokens reach 0.8 with their own copies only and stay out of the join.
 
 A group of many like lines would join with itself in all pairs. So a first
 round compares each set only with the first and the previous one that it meets
@@ -35,6 +36,8 @@ CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
 #: Sets of so many tokens and more have a bitmap of 256 bits, smaller ones of 64.
 WIDE = 72
+#: The smallest set that can match another one: 4 of 5 tokens.
+JOINED = 4
 SPACES = r"[\x20\x09-\x0D]+"
 #: Pairs of places in the order by rarity, as shares of the size, whose tokens bring like sets together in the first round.
 MEETINGS = ((0.3, 0.5), (0.25, 0.4))
@@ -152,7 +155,7 @@ def gone_sets(docs: DataFrame, *, min_tokens: int = 5) -> tuple[DataFrame, DataF
     lines = line_sets(docs, places).filter(F.col("n") >= min_tokens)
     sets = stored(lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(c).alias(c) for c in ("n", "meet", *WORDS))), "firsts")
     # First round: with the first and the previous set met at one of a few places; positions say nothing here.
-    near = sets.select("set_id", "first", "n", *WORDS, F.lit(0).alias("p"), F.explode(F.array_distinct("meet")).alias("k")).filter("k IS NOT NULL")
+    near = sets.filter(F.col("n") >= JOINED).select("set_id", "first", "n", *WORDS, F.lit(0).alias("p"), F.explode(F.array_distinct("meet")).alias("k")).filter("k IS NOT NULL")
     order = Window.partitionBy("k").orderBy("first", "set_id")
     me = F.struct("set_id", "first", "n", *WORDS, "p")
     asked = near.withColumn("o1", F.first(me).over(order)).withColumn("o2", F.lag(me).over(order))
@@ -161,7 +164,7 @@ def gone_sets(docs: DataFrame, *, min_tokens: int = 5) -> tuple[DataFrame, DataF
     pairs = asked.filter(ok).select(F.col("set_id").alias("late_set"), F.col("first").alias("late"), F.col("o.set_id").alias("early_set"), F.col("o.first").alias("early")).distinct()
     gone = stored(verified(docs, places, pairs), "gone")
     # Second round: what is not gone asks all sets that share a prefix token.
-    posted = postings(lines, sets, gone)
+    posted = postings(lines.filter(F.col("n") >= JOINED), sets.filter(F.col("n") >= JOINED), gone)
     side = lambda df, c: df.select(F.col("k").alias(f"{c}k"), F.col("set_id").alias(f"{c}s"), F.col("doc_id").alias(f"{c}d"), F.col("line_no").alias(f"{c}l"), F.col("p").alias(f"{c}p"), F.floor(F.col("ns") / 2).alias(f"{c}n"), *(F.col(w).alias(f"{c}{w}") for w in WORDS))
     before = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") < F.col("xl")))
     meet = (F.col("xk") == F.col("yk")) & before & may_match(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), [F.col(f"x{w}") for w in WORDS], [F.col(f"y{w}") for w in WORDS])
