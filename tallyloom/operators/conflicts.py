@@ -179,12 +179,15 @@ def officer_divergence_exact(t) -> DataFrame:
 
 @named()
 def officer_divergence_fuzzy(t) -> DataFrame:
-    """Items without a number match, by the best title likeness of the date (at least 0.5, first of equals).
+    """Agenda items without a number match in the minutes of their date, by the best title likeness there (at least 0.5, first of equals).
 
-    The likeness is that of difflib, which SQL does not have; both sides meet by date only.
+    The likeness is that of difflib, which SQL does not have; it is taken once for each two titles that meet on a date.
     """
-    a = t.motions.filter("id % 8 = 0").select("meeting_id", F.col("id").alias("agenda_id"), F.concat("title", F.lit(" "), "tags").alias("agenda_title"))
-    b = t.motions.filter("id % 8 = 1").select("meeting_id", F.col("id").alias("minutes_id"), F.concat("title", F.lit(" "), "tags").alias("minutes_title"))
+    items = t.items.select("meeting_id", "id", "side", F.trim("item_number").alias("number"), F.concat("title", F.lit(" "), "tags").alias("title"))
+    minutes = items.filter("side = 'minutes'")
+    numbers = minutes.filter("number != ''").select("meeting_id", "number").distinct()
+    a = items.filter("side = 'agenda'").join(numbers, ["meeting_id", "number"], "left_anti").select("meeting_id", F.col("id").alias("agenda_id"), F.col("title").alias("agenda_title"))
+    b = minutes.groupBy("meeting_id", F.col("title").alias("minutes_title")).agg(F.min("id").alias("minutes_id"))
 
     @F.pandas_udf("double")
     def like(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -192,6 +195,8 @@ def officer_divergence_fuzzy(t) -> DataFrame:
 
         return pd.Series([SequenceMatcher(None, p.lower(), q.lower()).ratio() for p, q in zip(x, y)])
 
-    met = a.join(b, "meeting_id").withColumn("confidence", like("agenda_title", "minutes_title")).filter("confidence >= 0.5")
-    w = Window.partitionBy("agenda_id").orderBy(F.desc("confidence"), "minutes_id")
-    return met.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("meeting_id", "agenda_id", "minutes_id", "confidence")
+    like = like.asNondeterministic()  # else its filter is pushed below the distinct and it runs on every pair
+    met = a.select("meeting_id", "agenda_title").distinct().join(b, "meeting_id")
+    alike = met.select("agenda_title", "minutes_title").distinct().withColumn("confidence", like("agenda_title", "minutes_title")).filter("confidence >= 0.5")
+    best = met.join(alike, ["agenda_title", "minutes_title"]).groupBy("meeting_id", "agenda_title").agg(F.min(F.struct((-F.col("confidence")).alias("away"), "minutes_id")).alias("best"))
+    return a.join(best, ["meeting_id", "agenda_title"]).select("meeting_id", "agenda_id", F.col("best.minutes_id").alias("minutes_id"), (-F.col("best.away")).alias("confidence"))

@@ -32,6 +32,8 @@ ROLES: dict[str, str] = {
         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE n_against END AS votes_against,
         concat(lower(substr(o_orderpriority, 3)), CASE WHEN o_orderkey % 3 = 0 THEN ', planning' ELSE '' END, CASE WHEN o_orderkey % 4 = 0 THEN ', tender' ELSE '' END, CASE WHEN o_orderkey % 7 = 0 THEN ', budget' ELSE '' END) AS tags
         FROM orders LEFT JOIN tallies ON motion_id = o_orderkey""",
+    # Every motion on one side of its date: what the officers put on the agenda, or what the minutes record. Numbers occur on both sides.
+    "items": "SELECT *, CASE WHEN (id - id % 40) % 80 = 0 THEN 'agenda' ELSE 'minutes' END AS side FROM motions",
     "attendance": """SELECT meeting_id, councillor_id, CASE WHEN (councillor_id + meeting_id) % 11 = 0 THEN 'apology' ELSE 'present' END AS status
         FROM (SELECT DISTINCT m.meeting_id, v.councillor_id FROM votes v JOIN motions m ON m.id = v.motion_id) x WHERE (councillor_id + meeting_id) % 17 <> 0""",
     "applications": """SELECT o_orderkey AS id, o_orderkey AS motion_id, o_custkey % 500 AS site_id, c_name AS applicant_name, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'refused' ELSE 'deferred' END AS status,
