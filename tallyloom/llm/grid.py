@@ -1,25 +1,35 @@
-"""A block grid: every block of queries meets every block of candidates.
-
-For a stated set of queries against all rows. Blocks are rows of two binary
-columns, so tasks read few, large rows. A block of queries is dealt to as many
-salts as there is work for; a block of candidates meets each block of queries
-once, under its own salt.
+"""A stated set of queries against all rows, in blocks.
+
+Candidates are packed into blocks once and stored; after that they are not
+shuffled. Queries come in groups of a bounded number of blocks. A group is sent
+to all tasks; each passes over its candidate blocks and keeps of each query
+what can still be among its nearest. What the tasks keep is stored group by group,
+so a lost executor costs tasks of one group. Work is queries times candidates,
+traffic is the queries and what is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship, stored
+from .shared import counted, ship, stored, tidy
+
+#: Blocks of queries that are sent to the tasks at once.
+GROUP_BLOCKS = 16
+
 
+def blocks(rows: DataFrame, name: str, fields: list[str], make: Callable[[int, bytes], list[bytes]], *, block_rows: int) -> DataFrame:
+    """Rows of (id long, body binary, kind int) as stored rows of (block, kind, ids, ``fields``), each of one kind and at most ``block_rows``.
 
-def blocks(rows: DataFrame, *, block_rows: int) -> DataFrame:
-    """Pack rows of (id long, body binary, kind int) into rows of (block, kind, ids, bodies), each of one kind and at most ``block_rows``."""
+    ``make`` gives the binary fields from kind and joined bodies. Partitions are
+    joined, not shuffled, to be no more than there are full blocks.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -31,9 +41,8 @@ def blocks(rows: DataFrame, *, block_rows: int) -> DataFrame:
             nonlocal made
             ids, bodies = open_.pop(kind)
             made += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part * 1_000_003 + made]), pa.array([kind], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(bodies)], pa.binary())], ["block", "kind", "ids", "bodies"]
-            )
+            binary = [np.array(ids, "<i8").tobytes(), *make(kind, b"".join(bodies))]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in binary)], ["block", "kind", "ids", *fields])
 
         for b in batches:
             for i, body, kind in zip(b.column("id").to_pylist(), b.column("body").to_pylist(), b.column("kind").to_pylist()):
@@ -45,26 +54,27 @@ def blocks(rows: DataFrame, *, block_rows: int) -> DataFrame:
         for kind in list(open_):
             yield out(kind)
 
-    return rows.select("id", "body", "kind").mapInArrow(pack, "block long, kind int, ids binary, bodies binary")
-
-
-def even(rows: DataFrame, block_rows: int) -> DataFrame:
-    """As many partitions as there are full blocks, so that blocks don't depend on how the input is cut."""
-    return rows.repartition(max(1, -(-rows.count() // block_rows)))
+    few = rows.select("id", "body", "kind").coalesce(max(1, -(-counted(rows) // block_rows)))
+    return stored(few.mapInArrow(pack, "block long, kind int, ids binary, " + ", ".join(f"{f} binary" for f in fields)), name)
 
 
-def grid(candidates: DataFrame, queries: DataFrame, *, block_rows: int, query_rows: int) -> DataFrame:
-    """Rows of (kind, ids, bodies, q_ids, q_bodies): all pairs of blocks of one kind."""
+def sweep(candidates: DataFrame, queries: DataFrame, search: Callable[[Iterator[dict], list[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``search`` finds for each group of query blocks in each partition of candidate blocks; stored. Blocks come as dictionaries of their columns."""
     spark = candidates.sparkSession
-    q = stored(blocks(queries, block_rows=query_rows), "queries")
-    c = stored(blocks(candidates, block_rows=block_rows), "candidates")
-    pairs = max(1, q.count())
-    salts = max(1, -(-4 * spark.sparkContext.defaultParallelism // pairs))
-    asked = q.select(F.col("kind").alias("q_kind"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("bodies").alias("q_bodies"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("q_salt"))
-    names = q.select(F.col("kind").alias("n_kind"), F.col("block").alias("n_block"))
-    held = c.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-    met = held.join(names, F.col("kind") == F.col("n_kind"))
-    return met.join(asked, (F.col("n_block") == F.col("q_block")) & (F.col("salt") == F.col("q_salt"))).select("kind", "ids", "bodies", "q_ids", "q_bodies")
+    with tidy(spark):
+        names = sorted(r[0] for r in queries.select("block").collect())  # a number a block
+    found = []
+    for low in range(0, max(1, len(names)), GROUP_BLOCKS):
+        with tidy(spark):
+            asked = [r.asDict() for r in queries.filter(F.col("block").isin(names[low : low + GROUP_BLOCKS])).collect()]
+        held = spark.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            yield from search((row for b in batches for row in b.to_pylist()), held.value)
+
+        found.append(stored(candidates.mapInArrow(run, schema), "found"))
+        held.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
 ship(__name__)

@@ -23,10 +23,10 @@ from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import discard, ship, stored, tidy
 
 SPACE = 32
 UNKNOWN = "und"
@@ -37,10 +37,20 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x10000)], bool)
 
 
+def _is_letter(cp: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which code points are letters by Unicode category; ``low`` holds the answer below U+10000."""
+    out = low[np.minimum(cp, 0xFFFF)]
+    high = np.flatnonzero(cp >= 0x10000)
+    if len(high):
+        kinds, at = np.unique(cp[high], return_inverse=True)
+        out[high] = np.array([chr(c).isalpha() for c in kinds.tolist()], bool)[at]
+    return out
+
+
 def symbols(text: str, is_letter: np.ndarray) -> tuple[np.ndarray, int]:
     """Code points of the lower-cased letters, runs of others as one space, a space at both ends; and the number of letters."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = np.where(cp < 0x10000, is_letter[np.minimum(cp, 0xFFFF)], True)
+    letter = _is_letter(cp, is_letter)
     cp = np.where(letter, cp, SPACE).astype(np.uint64)
     cp = np.concatenate(([SPACE], cp, [SPACE])).astype(np.uint64)
     keep = np.ones(len(cp), bool)
@@ -82,7 +92,7 @@ def places(keys: np.ndarray, starts: np.ndarray, deepest: int, bits: int, h: np.
 
 @dataclass
 class LanguageModels:
-    """keys, logs: of each order the sorted n-gram hashes and log probabilities (a column a language); contexts, backs: the same for back-off weights; floor: log probability of a symbol never seen; limits: of each language the highest cross-entropy that is not rejected."""
+    """keys, logs: of each order the sorted n-gram hashes and log probabilities (a column a language); contexts, backs: the same for back-off weights; floor: log of an even share of the alphabet, one unknown symbol included; limits: of each language the highest cross-entropy that is not rejected."""
 
     langs: list[str]
     keys: list[np.ndarray]
@@ -120,6 +130,8 @@ class Scorer:
                 at, known = places(m.contexts[n - 1], *self.back_index[n - 1], self.bits, c)
                 if len(m.contexts[n - 1]):
                     rest = rest + np.where(known[:, None], m.backs[n - 1][at], 0)
+            elif len(m.backs[0]):
+                rest = rest + m.backs[0][0]
             out[miss] = rest
         return out
 
@@ -155,61 +167,64 @@ class Scorer:
         return self.m.langs[best], float(1 / odds.sum()), float(each[best]), bool(each[best] > self.m.limits[best])
 
 
-def kneser_ney(counts: dict[str, list[dict[int, tuple[int, int, int]]]], order: int) -> LanguageModels:
-    """Models from counts: of each language and order a map of n-gram hash to (context hash, hash without the first symbol, count)."""
+Counts = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _look(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the hashes stand in sorted keys, and which of them do."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+def weights_of(counts: Counts, n: int) -> np.ndarray:
+    """Of the n-grams of a language: occurrences in the highest order, below it how many symbols come before (1 where none does)."""
+    if n == len(counts):
+        return counts[n - 1][3]
+    before, kinds = np.unique(counts[n][2], return_counts=True)
+    at, hit = _look(before, counts[n - 1][0])
+    return np.where(hit, kinds[at] if len(kinds) else 1, 1)
+
+
+def discount(weights: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2) over all n-grams of an order; 1/2 where no n-gram has a weight of 1."""
+    once, twice = int((weights == 1).sum()), int((weights == 2).sum())
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def kneser_ney(counts: dict[str, Counts], order: int) -> LanguageModels:
+    """Interpolated models of one discount an order, from all counts: of each language and order the sorted n-gram hashes with context hash, hash without the first symbol, and count."""
     langs = sorted(counts)
-    alphabet = {h for x in langs for h in counts[x][0]}
-    floor = float(np.log(1e-3 / max(1, len(alphabet))))
+    alphabet = len(np.unique(np.concatenate([counts[x][0][0] for x in langs]))) if langs else 0
+    floor = float(np.log(1 / (alphabet + 1)))
     keys, logs, contexts, backs = [], [], [], []
-    below: dict[str, dict[int, float]] = {x: {} for x in langs}
     for n in range(1, order + 1):
-        grams = sorted({h for x in langs for h in counts[x][n - 1]})
-        detail: dict[int, tuple[int, int]] = {}
-        level, back = {}, {}
-        for x in langs:
-            own = counts[x][n - 1]
-            if n < order:  # continuation counts: how many symbols come before
-                weight: dict[int, int] = {}
-                for _, rest, _ in counts[x][n].values():
-                    weight[rest] = weight.get(rest, 0) + 1
-                weight = {h: weight.get(h, 1) for h in own}
-            else:
-                weight = {h: c for h, (_, _, c) in own.items()}
-            once = sum(1 for c in weight.values() if c == 1)
-            twice = sum(1 for c in weight.values() if c == 2)
-            off = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-            total: dict[int, int] = {}
-            kinds: dict[int, int] = {}
-            for h, (ctx, _, _) in own.items():
-                total[ctx] = total.get(ctx, 0) + weight[h]
-                kinds[ctx] = kinds.get(ctx, 0) + 1
-            lam = {ctx: off * kinds[ctx] / total[ctx] for ctx in total}
-            seen = {}
-            for h, (ctx, rest, _) in own.items():
-                lower = below[x].get(rest) if n > 1 else 1 / (len(alphabet) + 1)
-                seen[h] = max(weight[h] - off, 0.0) / total[ctx] + lam[ctx] * (lower if lower is not None else np.exp(floor))
-            for h, (ctx, rest, _) in own.items():
-                detail[h] = (ctx, rest)
-            level[x], back[x] = seen, lam
-        table = np.zeros((len(grams), len(langs)), np.float32)
-        full: dict[str, dict[int, float]] = {x: {} for x in langs}
-        for i, h in enumerate(grams):
-            ctx, rest = detail[h]
-            for j, x in enumerate(langs):
-                p = level[x].get(h)
-                if p is None:
-                    lower = below[x].get(rest, np.exp(floor)) if n > 1 else np.exp(floor)
-                    p = back[x].get(ctx, 1.0) * lower
-                full[x][h] = p
-                table[i, j] = np.log(max(p, 1e-300))
-        held = sorted({c for x in langs for c in back[x]}) if n > 1 else []
-        weights = np.array([[np.log(back[x].get(c, 1.0)) for x in langs] for c in held], np.float32).reshape(len(held), len(langs))
-        keys.append(np.array(grams, np.uint64))
+        own = [counts[x][n - 1] for x in langs]
+        grams, first = np.unique(np.concatenate([g[0] for g in own]), return_index=True)
+        ctx, rest = (np.concatenate([g[k] for g in own])[first] for k in (1, 2))
+        held = np.unique(np.concatenate([g[1] for g in own]))
+        table, weights = np.empty((len(grams), len(langs))), np.zeros((len(held), len(langs)))
+        lower = np.full((len(grams), len(langs)), floor)
+        if n > 1:
+            at, hit = _look(keys[-1], rest)
+            lower[hit] = logs[-1][at[hit]]
+        for j, g in enumerate(own):
+            weight = weights_of(counts[langs[j]], n)
+            off = discount(weight)
+            at = np.searchsorted(held, g[1])
+            total = np.bincount(at, weight, minlength=len(held))
+            kinds = np.bincount(at, minlength=len(held))
+            lam = np.where(total > 0, off * kinds / np.maximum(total, 1), 1.0)
+            seen = np.zeros(len(grams))
+            seen[np.searchsorted(grams, g[0])] = np.maximum(weight - off, 0) / total[at]
+            table[:, j] = np.log(seen + lam[np.searchsorted(held, ctx)] * np.exp(lower[:, j]))
+            weights[:, j] = np.log(lam)
+        keys.append(grams)
         logs.append(table)
-        contexts.append(np.array(held, np.uint64))
-        backs.append(weights)
-        below = full
-    return LanguageModels(langs, keys, logs, contexts, backs, floor, np.full(len(langs), np.inf))
+        contexts.append(held)  # in the first order only the empty context
+        backs.append(weights.astype(np.float32))
+    return LanguageModels(langs, keys, [t.astype(np.float32) for t in logs], contexts, backs, floor, np.full(len(langs), np.inf))
 
 
 def count_grams(texts: list[str | None], order: int, is_letter: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -240,21 +255,23 @@ def count_grams(texts: list[str | None], order: int, is_letter: np.ndarray) -> l
     return out
 
 
-def fit(docs: DataFrame, *, order: int = 4, max_docs: int = 1500, min_count: int = 2, parts: int = 4, held: int = 2, reject: float = 0.999, seed: int = 5) -> LanguageModels:
-    """Fit on about ``max_docs`` texts a language outside the held-out fold; a tenth of them calibrate the rejection.
+def fit(docs: DataFrame, *, order: int = 4, max_docs: int = 1500, parts: int = 4, held: int = 2, reject: float = 0.999, seed: int = 5) -> LanguageModels:
+    """Fit on about ``max_docs`` texts a language outside the held-out fold; every tenth of them calibrates the rejection.
 
-    ``max_docs`` bounds what is counted. n-grams of the highest order seen less
-    than ``min_count`` times are left out.
+    ``max_docs`` bounds the texts that are counted; all their n-grams are kept.
+    A language of under ten texts has none to calibrate on and rejects nothing.
     """
     from .quality import fold_of
 
     known = docs.select(F.col("doc_id").alias("d"), F.col("lang").alias("l"), F.col("text").alias("t")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.coalesce(fold_of("d", parts), F.lit(-1)) != held))
-    sizes = {r[0]: r[1] for r in known.groupBy("l").count().collect()}
+    with tidy(docs.sparkSession):
+        sizes = {r[0]: r[1] for r in known.groupBy("l").count().collect()}
     if not sizes:
         return LanguageModels([], [], [], [], [], 0.0, np.zeros(0))
     chosen = F.pmod(F.xxhash64(F.lit(seed), "d"), F.lit(1 << 30))
     limit = F.coalesce(*(F.when(F.col("l") == x, F.lit(int((1 << 30) * min(1.0, max_docs / n)))) for x, n in sizes.items()), F.lit(0))
-    sample = known.filter(chosen < limit).withColumn("tune", (F.pmod(F.xxhash64(F.lit(seed + 1), "d"), F.lit(10)) == 0) & F.lit(max(sizes.values()) >= 20))
+    drawn = known.filter(chosen < limit).withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64(F.lit(seed + 1), "d"), F.xxhash64("t"))))
+    sample = stored(drawn.withColumn("tune", F.col("r") % 10 == 0).drop("r"), "language_sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter = _letters()
@@ -266,15 +283,23 @@ def fit(docs: DataFrame, *, order: int = 4, max_docs: int = 1500, min_count: int
                 for n, (h, ctx, rest, c) in enumerate(count_grams(texts, order, is_letter), 1):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(np.full(len(h), n)), *(pa.array(x.view(np.int64)) for x in (h, ctx, rest)), pa.array(c)], ["l", "n", "h", "ctx", "rest", "c"])
 
-    grams = sample.filter(~F.col("tune")).select("l", "t").mapInArrow(count, "l string, n long, h long, ctx long, rest long, c long")
-    summed = grams.groupBy("l", "n", "h", "ctx", "rest").agg(F.sum("c").alias("c")).filter((F.col("n") < order) | (F.col("c") >= (min_count if max(sizes.values()) >= 50 else 1)))
-    got = summed.toArrow()
-    cols = [got.column(k).to_numpy() for k in ("n", "h", "ctx", "rest", "c")]
-    counts: dict[str, list[dict]] = {x: [{} for _ in range(order)] for x in sizes}
-    for lang, n, h, ctx, rest, c in zip(got.column("l").to_pylist(), cols[0].tolist(), *(x.astype(np.int64).view(np.uint64).tolist() for x in cols[1:4]), cols[4].tolist()):
-        counts[lang][n - 1][h] = (ctx, rest, c)
-    models = kneser_ney({x: c for x, c in counts.items() if c[0]}, order)
+    parts_ = max(1, min(64, sum(min(n, max_docs) for n in sizes.values()) // 100))
+    grams = sample.filter(~F.col("tune")).select("l", "t").repartition(parts_).mapInArrow(count, "l string, n long, h long, ctx long, rest long, c long")
+    with tidy(docs.sparkSession):
+        got = grams.groupBy("l", "n", "h", "ctx", "rest").agg(F.sum("c").alias("c")).toArrow()
+    langs, n = np.array(got.column("l").to_pylist(), object), got.column("n").to_numpy()
+    h, ctx, rest = (got.column(k).to_numpy().view(np.uint64) for k in ("h", "ctx", "rest"))
+    c = got.column("c").to_numpy()
+    counts: dict[str, Counts] = {}
+    for x in sorted(set(langs.tolist())):
+        counts[x] = []
+        for k in range(1, order + 1):
+            own = np.flatnonzero((langs == x) & (n == k))
+            own = own[np.argsort(h[own])]
+            counts[x].append((h[own], ctx[own], rest[own], c[own]))
+    models = kneser_ney(counts, order)
     if not models.langs:
+        discard(sample)
         return models
     sent = docs.sparkSession.sparkContext.broadcast(astuple(models))
 
@@ -284,7 +309,9 @@ def fit(docs: DataFrame, *, order: int = 4, max_docs: int = 1500, min_count: int
             rows = [(x, float(e[0][scorer.m.langs.index(x)])) for x, e in ((x, scorer.entropy(t)) for x, t in zip(b.column("l").to_pylist(), b.column("t").to_pylist())) if e and x in scorer.m.langs and e[1] >= 20]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["l", "e"])
 
-    limits = {r[0]: r[1] * 1.1 for r in sample.filter("tune").select("l", "t").mapInArrow(tuned, "l string, e double").groupBy("l").agg(F.percentile("e", F.lit(reject))).collect()}
+    with tidy(docs.sparkSession):
+        limits = {r[0]: r[1] * 1.1 for r in sample.filter("tune").select("l", "t").mapInArrow(tuned, "l string, e double").groupBy("l").agg(F.percentile("e", F.lit(reject))).collect()}
+    discard(sample)
     models.limits = np.array([limits.get(x, np.inf) for x in models.langs])
     return models
 

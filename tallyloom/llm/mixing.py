@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ship, stored
+from .shared import counted, free, ship, stored, tidy
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -55,8 +55,8 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), mo
 
 def positioned(sizes: DataFrame, *, rows_each: int = 50_000) -> DataFrame:
     """Add ``at``, the words of the source before the row, to rows of (source, doc_id, size)."""
-    parts = max(16, -(-sizes.count() // rows_each))
-    hashed = sizes.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    parts = max(16, -(-counted(sizes) // rows_each))
+    hashed = sizes.withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.lit(parts)))  # the size deals rows of one id, or of none, over many parts
     sums = hashed.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("base"))
@@ -82,25 +82,27 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
+#: Slots that one draw can count at most; a larger mix is drawn in so many even parts more.
+DRAWN = 500_000_000
+
+
 def drawn(totals: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """First slot and number of slots of each source in one shard.
 
-    Halves the shards down to the one asked for. How the slots of a range
-    divide is a draw without replacement, seeded by the range, so all shards
-    agree; beyond what the draw can count (10^9 slots) the halves are even.
+    The shards lie in even parts, of at most ``DRAWN`` slots each. A part is
+    halved down to the shard asked for. How the slots of a range divide is a
+    draw without replacement, seeded by the range, so all shards agree.
     """
-    low, high = 0, shards
-    first, count = np.zeros_like(totals), totals.copy()
+    parts = min(shards, max(1, -(-int(totals.sum()) // DRAWN)))
+    part = (shard * parts + parts - 1) // shards  # the last one that begins at or before the shard
+    low, high = part * shards // parts, (part + 1) * shards // parts
+    share = lambda at: np.array([int(c) * at // shards for c in totals], np.int64)
+    first = share(low)
+    count = share(high) - first
     while high - low > 1:
         mid = (low + high) // 2
-        total = int(count.sum())
-        # Slots go to shards by place: shard k holds those from k * total // shards on.
-        take = (mid - low) * total // (high - low)
-        if total < 10**9:
-            rng = np.random.Generator(np.random.PCG64([seed, low, high]))
-            left = rng.multivariate_hypergeometric(count, take, method="marginals")
-        else:
-            left = np.array([int(c) * (mid - low) // (high - low) for c in count], np.int64)
+        rng = np.random.Generator(np.random.PCG64([seed, low, high]))
+        left = rng.multivariate_hypergeometric(count, (mid - low) * int(count.sum()) // (high - low), method="marginals")
         if shard < mid:
             high, count = mid, left
         else:
@@ -117,7 +119,8 @@ def slots(targets: DataFrame, *, most: int = 3, block_words: int = 256, shard_sl
     The driver gets one row a source (names of sources, not documents).
     """
     spark = targets.sparkSession
-    rows = sorted((r["sid"], r["source_size"], r["target"]) for r in targets.filter("source_size > 0").collect())
+    with tidy(spark):
+        rows = sorted((r["sid"], r["source_size"], r["target"]) for r in targets.filter("source_size > 0").collect())
     sid = np.array([r[0] for r in rows], np.int64)
     size = np.array([r[1] for r in rows], np.int64)
     blocks = -(-size // block_words)
@@ -165,7 +168,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     sizes = stored(docs.select("source", *keep, F.col("doc_id").cast("long").alias("doc_id"), words_in("text").alias("size")), "sizes")
     targets = stored(source_targets(sizes, weights=weights, most=most), "targets")
     named = targets.select(F.col("source").alias("s"), "sid", "source_size", "target")
-    placed = positioned(sizes).join(F.broadcast(named) if targets.count() <= 100_000 else named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    placed = positioned(sizes).join(F.broadcast(named) if counted(targets) <= 100_000 else named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     return placed, slots(targets, most=most, block_words=block_words, seed=seed)
 
 
@@ -190,23 +193,24 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """
     columns = docs.columns
     block_words = options.get("block_words", 256)
-    keyed = docs.withColumn("_row", F.xxhash64(*columns))
-    placed, mixed = mix(keyed, keep=("_row",), **options)
-    cut = fragments(placed.select("doc_id", "_row", "sid", "at", "size"), block_words=block_words)
+    row, also, list_ = (free(c, columns) for c in ("_row", "_also", "_takes"))  # 128 bits that name a row by its content
+    keyed = docs.withColumns({row: F.xxhash64(*columns), also: F.xxhash64(F.lit(1), *columns)})
+    placed, mixed = mix(keyed, keep=(row, also), **options)
+    cut = fragments(placed.select(row, also, "sid", "at", "size"), block_words=block_words)
     words = F.least(F.col("length"), F.col("words") - F.col("block_at"))
-    met = cut.join(mixed.select("sid", "block", "turn", "words"), ["sid", "block"]).withColumn("words", words).filter("words > 0")
+    met = cut.join(mixed.select("sid", "block", "turn", "words").hint("merge"), ["sid", "block"]).withColumn("words", words).filter("words > 0")
     # Alike rows share a key, so their takes are told apart by place.
-    takes = met.groupBy("_row", "at").agg(F.collect_list(F.struct("turn", "start", "words")).alias("_takes")).withColumnRenamed("_row", "_key").drop("at")
-    once = keyed.dropDuplicates(["_row"])
-    joined = once.join(takes, F.col("_row") == F.col("_key")).select(*columns, "_takes")
+    takes = met.groupBy(row, also, "at").agg(F.collect_list(F.struct("turn", "start", "words")).alias(list_)).drop("at")
+    once = keyed.dropDuplicates([row, also])
+    joined = once.join(takes, [row, also]).select(*columns, list_)
     sized = "n_chars" in columns
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 256):
                 part = b.slice(low, 256)
-                texts = [cut_pieces(t, k) for t, k in zip(part.column("text").to_pylist(), part.column("_takes").to_pylist())]
-                rows = part.drop_columns(["_takes"]).take(pa.array([i for i, x in enumerate(texts) for _ in x], pa.int64()))
+                texts = [cut_pieces(t, k) for t, k in zip(part.column("text").to_pylist(), part.column(list_).to_pylist())]
+                rows = part.drop_columns([list_]).take(pa.array([i for i, x in enumerate(texts) for _ in x], pa.int64()))
                 flat = pa.array([x for xs in texts for x in xs], pa.string())
                 rows = rows.set_column(rows.schema.get_field_index("text"), "text", flat)
                 if sized:
@@ -222,7 +226,7 @@ def totals(placed: DataFrame, mixed: DataFrame, *, block_words: int = 256) -> Da
     used = mixed.groupBy("sid", "block").agg(F.collect_list("words").alias("takes"))
     cut = fragments(placed.select("sid", "at", "size"), block_words=block_words)
     got = (
-        cut.join(used, ["sid", "block"])
+        cut.join(used.hint("merge"), ["sid", "block"])  # a slot table looks small to the planner, as it is made from a range
         .withColumn("got", F.aggregate("takes", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0).cast("long"), F.least(F.col("length"), w - F.col("block_at")))))
         .groupBy(F.col("sid").alias("g_sid"), F.col("at").alias("g_at"))
         .agg(F.sum("got").alias("taken"))

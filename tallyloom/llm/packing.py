@@ -17,7 +17,6 @@ null id are packed like any other. Extra columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -33,6 +32,8 @@ from .shared import ship, stored
 LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 LATIN_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN_SPACES = "\t-\r \x85\xa0"
+#: Code points that all Unicode versions of the last years put into the same categories.
+SETTLED = "\x00-\u052f\u2000-\u2064\u20a0-\u20bd\u3040-\u3096\u30a0-\u30ff\u4e00-\u9fa5"
 
 #: A table of counts of at most so many rows (three numbers each) is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -40,19 +41,23 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, wor
 
 
 class Tokens:
-    """Ids of a byte-level BPE vocabulary.
+    """Ids that the tokenizer of a file gives a text.
 
-    The split pattern runs over the whole text; ids of a split are looked up
-    in a bounded table and computed by the library where they are not there.
+    ``pattern`` is how the tokenizer cuts a text into splits. Where that runs here,
+    ids of a split are looked up in a bounded table and come from the
+    tokenizer where they are not there. Texts with an added token, or with a code
+    point that Unicode versions may see differently, go to the tokenizer whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, keep: int = 400_000):
+    def __init__(self, path: str, pattern: str, keep: int = 400_000):
         import regex
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        whole = Tokenizer.from_file(path)
+        added = [re.escape(t.content) for t in whole.get_added_tokens_decoder().values()]
+
+        def one(text: str) -> list[int]:
+            return whole.encode(text, add_special_tokens=False).ids
 
         class Known(dict):
             def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -61,13 +66,16 @@ class Tokens:
                     self[piece] = ids
                 return ids
 
-        self.known = Known()
+        self.one, self.known = one, Known()
+        self.apart = re.compile("|".join([f"[^{SETTLED}]", *added])).search
         self.any_split = regex.compile(pattern).findall
         s, n, w = LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACES
         self.latin_split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{s}]+| ?[{n}]+| ?[^{w}{s}{n}]+|[{w}]+(?![^{w}])|[{w}]+").findall
         self.beyond_latin = re.compile(r"[^\x00-\xff]").search
 
     def __call__(self, text: str) -> np.ndarray:
+        if self.apart(text):
+            return np.array(self.one(text), np.uint32)
         splits = self.any_split(text) if self.beyond_latin(text) else self.latin_split(text)
         return np.fromiter(chain.from_iterable(map(self.known.__getitem__, splits)), np.uint32)
 
@@ -85,7 +93,7 @@ def lengths_of(count: int, capacity: int, tail: int) -> list[int]:
     return cut + [left] * (left > 0)
 
 
-def cut(docs: DataFrame, ranks_path: str, pattern: str, *, capacity: int = 2048, tail: int = 128, end_id: int = 1, keep: int = 400_000) -> DataFrame:
+def cut(docs: DataFrame, tokenizer_path: str, pattern: str, *, capacity: int = 2048, tail: int = 128, end_id: int = 1, keep: int = 400_000) -> DataFrame:
     """Tokenise and cut: a row for each piece, its ids as little-endian unsigned 32-bit numbers.
 
     ``worker`` and ``place`` (index of the piece among those of its length
@@ -96,7 +104,7 @@ def cut(docs: DataFrame, ranks_path: str, pattern: str, *, capacity: int = 2048,
         from pyspark import TaskContext
 
         worker = TaskContext.get().partitionId()
-        tokens, made = Tokens(ranks_path, pattern, keep), {}
+        tokens, made = Tokens(tokenizer_path, pattern, keep), {}
         columns: list[list] = [[] for _ in range(6)]
         size = 0
 
@@ -173,10 +181,10 @@ def assign(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, **options) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, **options) -> DataFrame:
     """Pieces with their ids, sequence and offset."""
     capacity = options.get("capacity", 2048)
-    return assign(stored(cut(docs, ranks_path, pattern, **options), "pieces"), capacity=capacity)
+    return assign(stored(cut(docs, tokenizer_path, pattern, **options), "pieces"), capacity=capacity)
 
 
 ship(__name__)

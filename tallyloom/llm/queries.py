@@ -54,10 +54,10 @@ def op4_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary() -> tuple[str, str]:
-    """Path of the vocabulary's ranks and its split pattern."""
+    """Path of the tokenizer and its split pattern."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,15 +67,14 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").filter(nearest.sound("embedding"))
-    codes = vectors.select(F.col("vec_id").cast("long").alias("id"), nearest.sign_code("embedding").alias("code"))
-    return nearest.nearest_codes(codes, every=50, k=10).select("query_id", "rank", "vec_id", F.col("score").cast("int").alias("distance"))
+    vectors = table(spark, sf_dir, "embeddings").filter(nearest.sound("embedding")).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    return nearest.nearest_codes(nearest.sign_codes(vectors), every=50, k=10).select("query_id", "rank", "vec_id", F.col("score").cast("int").alias("distance"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = langid.fit(docs, parts=4, held=2)
-    return langid.predict(docs, models).select("doc_id", (quality.fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return langid.predict(docs, models).select("doc_id", F.coalesce(quality.fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op8_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +87,7 @@ def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
     return quality.score(docs.select("doc_id", "text"), model, threshold=0.3).select(
         "doc_id",
-        (quality.fold_of("doc_id", 5) == 0).alias("held_out"),
+        F.coalesce(quality.fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
         F.col("quality_score").alias("score"),
         F.col("quality_predicted").alias("predicted"),
     )

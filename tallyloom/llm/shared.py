@@ -1,13 +1,20 @@
-"""Tables that every executor can read again, and functions shipped by value."""
+"""What the operators here share: tables, free column names, functions shipped by value."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.store import counted, discard, shared_dir, stored, tidy
+
+__all__ = ["counted", "discard", "free", "shared_dir", "ship", "small", "stored", "table", "tidy"]
+
+#: A side of at most so many rows of a few numbers is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def ship(module: str) -> None:
@@ -15,24 +22,17 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a new local one where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if counted(df) <= BROADCAST_ROWS else df
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
 
-    Cuts the lineage: what reads the result needs none of the tasks before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores as it takes to clash with no column of ``taken``."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

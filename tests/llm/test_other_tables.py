@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, nearest, rendering
+from tallyloom.llm import chat, grid, nearest, rendering
 from tallyloom.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +28,7 @@ def vectors(spark):
 def test_nearest(spark):
     x, df = vectors(spark)
     got = {}
-    for r in nearest.nearest(df, every=50, k=10, block_rows=32, query_rows=3).collect():
+    for r in nearest.nearest(df, every=50, k=10, block_rows=32).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     for q in range(0, 300, 50):
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
@@ -44,26 +45,70 @@ def test_nearest_few_and_none(spark):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
-def test_codes(spark):
-    rng = np.random.default_rng(3)
-    c = rng.integers(0, 1 << 63, 400, dtype=np.int64)
-    c[100:160] = c[100]
-    c[200:220] = c[100] ^ 5
-    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(c)] + [(None, 1), (999, None), (3, int(c[3]))], "id long, code long")
+def ranks(rows):
     got = {}
-    for r in nearest.nearest_codes(df, every=50, k=10, block_rows=64, query_rows=5).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, int(r.score)))
-    u = c.view(np.uint64)
-    for q in range(0, 400, 50):
-        d = np.bitwise_count(u ^ u[q])
-        want = [i for i in np.lexsort((np.arange(400), d)) if i != q][:10]
-        assert [(k + 1, i, int(d[i])) for k, i in enumerate(want)] == sorted(got[q])
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(x) for q, x in got.items()}
+
+
+def brute(points, queries, distance, k=10):
+    """points: (id, value); an id counts by its nearest value."""
+    out = {}
+    for q, v in queries.items():
+        near = {}
+        for i, x in points:
+            if i != q:
+                near[i] = min(near.get(i, math.inf), distance(v, x))
+        out[q] = [(n + 1, i, pytest.approx(d, rel=1e-14)) for n, (i, d) in enumerate(sorted(near.items(), key=lambda e: (e[1], e[0]))[:k])]
+    return out
+
+
+@pytest.mark.parametrize("blocks", [1, 16])
+def test_nearest_of_repeated_ids_and_dimensions(spark, monkeypatch, blocks):
+    monkeypatch.setattr(grid, "GROUP_BLOCKS", blocks)
+    rng = np.random.default_rng(6)
+    points = [(int(rng.integers(0, 120)), [float(np.float32(v)) for v in rng.normal(size=d)]) for d in (3, 70) for _ in range(150)]
+    points += [(200 + i, [float(np.float32(1e30)), float(i), 0.0]) for i in range(4)]
+    points += [(300, points[5][1])] * 40
+    df = spark.createDataFrame(points, "vec_id long, embedding array<float>")
+    got = ranks(nearest.nearest(df, every=10, k=10, block_rows=16).collect())
+    queries = {i: min(v for j, v in points if j == i) for i in {j for j, _ in points} if i % 10 == 0}
+    want = brute(points, queries, lambda a, b: math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b))) if len(a) == len(b) else math.inf, k=400)
+    assert got == {q: [e for e in x if e[2] != math.inf][:10] for q, x in want.items()}
+
+
+def codes_frame(spark, rows, bits):
+    return spark.createDataFrame([(i, None if v is None else bytearray(int(v).to_bytes(-(-bits // 8), "little")), bits) for i, v in rows], "id long, code binary, kind int")
+
+
+@pytest.mark.parametrize("bits", [5, 64, 100])
+def test_codes(spark, monkeypatch, bits):
+    monkeypatch.setattr(grid, "GROUP_BLOCKS", 1)
+    rng = np.random.default_rng(3)
+    c = [int(rng.integers(0, 1 << 62)) * (1 << 40) + int(rng.integers(0, 1 << 40)) & (1 << bits) - 1 for _ in range(400)]
+    c[100:160] = [c[100]] * 60
+    c[200:220] = [c[100] ^ 5] * 20
+    points = list(enumerate(c)) + [(3, c[100]), (3, c[7]), (150, c[9])]
+    df = codes_frame(spark, points + [(None, 1), (999, None), (3, c[3])], bits)
+    got = ranks(nearest.nearest_codes(df, every=50, k=10, block_rows=64).collect())
+    asked = {i: min((v for j, v in points if j == i), key=lambda v: v.to_bytes(-(-bits // 8), "little")) for i in range(0, 400, 50)}
+    assert got == brute(points, asked, lambda a, b: (a ^ b).bit_count())
     assert nearest.nearest_codes(df.limit(0)).count() == 0
 
 
-def test_sign_code(spark):
-    df = spark.createDataFrame([([1.0, -1.0, 2.0],), ([0.0] * 63 + [1.0],)], "e array<float>")
-    assert [r[0] for r in df.select(nearest.sign_code("e")).collect()] == [5, -(1 << 63)]
+def test_sign_codes(spark):
+    wide = [-1.0] * 70 + [2.0]
+    df = spark.createDataFrame([(1, [1.0, -1.0, 2.0]), (2, wide)], "id long, v array<float>")
+    got = {r.id: (int.from_bytes(r.code, "little"), r.kind) for r in nearest.sign_codes(df).collect()}
+    assert got == {1: (5, 3), 2: (1 << 70, 71)}
+
+
+def test_vectors_that_differ_beyond_the_first_word(spark, tmp_path):
+    rows = [(i, [1.0] * 64 + [1.0 if i == 50 else -1.0]) for i in range(0, 60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = ranks(r for r in QUERIES["op6_multi_index_topk"](spark, str(tmp_path)).withColumnRenamed("distance", "score").collect())
+    assert {e[2] for e in got[50]} == {1} and {e[2] for e in got[0]} == {0}
 
 
 PAGE = """<!doctype html><title>T</title><style>.x, #y{display:none}</style><body><h1>Head &amp; x</h1><p>one <b>two<br>three<p>four</b> five<div class=x>no</div><div hidden>no</div>
