@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Company endings in the order in which they go, keyword groups, placeholder pattern.
-FIRM_ENDINGS = ("pty ltd", "pty. ltd.", "pty limited", "limited", "ltd", "pty")
-PLACEHOLDER = r"(?i)^\s*(respondent|tenderer|applicant|submitter|company|contractor)\s*(no\.?\s*)?#?\d+\s*$"
+# Company endings in the order in which they go, nouns of recipients without a name, phrases of a deferred answer, labels and titles of private names.
+FIRM_ENDINGS = (" pty ltd", " pty. ltd.", " pty ltd.", " ltd", " pty", " p/l")
+PLACEHOLDER = r"^(respondent|tenderer|contractor|supplier|bidder|proponent|applicant|submitter|company|party|entity)\b[\s\-#:.]*\d*$"
+ON_NOTICE = r"(?i)taken on notice|on notice|no response|not answered|deferred|will be provided|to be provided|provided later|will respond|responded to in writing|respond(?:ed)?\s+in\s+writing|provide[d]?.{0,20}writing|answer(?:ed)?.{0,20}writing"
 NIL_HEADING = r"(?i)^confidential reports?(\s+section)?\s*-\s*nil\b"
 LEFT_ROOM = r"(?i)\bleft the (meeting|room)\b"
-ON_NOTICE = r"(?i)(taken|took) on notice"
+FIELD_LABELS = ("BA/DA REFERENCE", "APPLICATION", "REFERENCE", "LANDOWNER", "OWNER", "APPLICANT", "ZONING", "USE CLASS", "LAND AREA")
+PRIVATE_LABELS = ("OWNER", "LANDOWNER", "APPLICANT")
+PERSONAL_TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr")
+WITHHELD = "[private individual — name withheld]"
 
 
 def firm_key(name: Column) -> Column:
-    """Lower case, company endings gone, no full stops, commas or white space."""
-    x = F.lower(name)
+    """Lower case, company endings gone, no full stops, commas or white space. Endings go with the space before them, so none is cut out of a word's beginning."""
+    x = F.lower(F.trim(name))
     for ending in FIRM_ENDINGS:
         x = F.replace(x, F.lit(ending), F.lit(""))
     return F.regexp_replace(x, r"[.,\s]", "")
@@ -26,7 +30,7 @@ def reference_key(ref: Column) -> Column:
 
 
 def is_placeholder(name: Column) -> Column:
-    return F.coalesce(name.rlike(PLACEHOLDER), F.lit(False))
+    return F.coalesce(F.lower(F.trim(name)).rlike(PLACEHOLDER), F.lit(False))
 
 
 def spaces_collapsed(s: Column) -> Column:
@@ -50,10 +54,23 @@ def suburb(address: Column) -> Column:
     return F.trim(F.element_at(F.split(address, ","), -1))
 
 
+def _private() -> tuple[str, str]:
+    """A private label with what follows it, up to the next label or the line's end; and a title with one to four names."""
+    fields = "|".join(FIELD_LABELS)
+    label = rf"(?i)\b(?:{'|'.join(PRIVATE_LABELS)})S?:\s*.*?(?=\n|\z|\s+(?:{fields})S?:)"
+    return label, rf"\b(?:{'|'.join(PERSONAL_TITLES)})\.?\s+[A-Z][\w'-]*(?:\s+[A-Z][\w'-]*){{0,3}}"
+
+
 def redacted(text: Column) -> Column:
-    """Names after a title or a label are replaced."""
-    x = F.regexp_replace(text, r"\b(Mr|Mrs|Ms|Miss|Dr|Cr)\.?\s+[A-Z][\p{L}'-]+(\s+[A-Z][\p{L}'-]+)?", "$1 [redacted]")
-    return F.regexp_replace(x, r"(?m)^((?:Applicant|Owner|Name):)\s*\S.*$", "$1 [redacted]")
+    """Private fields, with their labels, and names after a personal title are replaced."""
+    for pattern in _private():
+        text = F.regexp_replace(text, pattern, WITHHELD)
+    return text
+
+
+def has_private_name(text: Column) -> Column:
+    label, title = _private()
+    return F.coalesce(text.rlike(label) | text.rlike(title), F.lit(False))
 
 
 def size_bucket(chars: Column) -> Column:

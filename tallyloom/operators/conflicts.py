@@ -140,7 +140,7 @@ def topic_lift(t) -> DataFrame:
     return e.withColumn("k", F.lit(1)).join(F.broadcast(base), "k").select("theme", "n", (F.col("c") / F.col("n") / F.col("base")).alias("lift"))
 
 
-_ANSWER = "CASE WHEN response IS NULL OR trim(response) = '' THEN 'blank' WHEN regexp_matches(response, '(?i)(taken|took) on notice') THEN 'on_notice' ELSE 'answered' END"
+_ANSWER = "CASE WHEN response IS NULL OR trim(response) = '' THEN 'blank' WHEN regexp_matches(response, '(?i)taken on notice|on notice|no response|not answered|deferred|will be provided|to be provided|provided later|will respond|responded to in writing|respond(?:ed)?\\s+in\\s+writing|provide[d]?.{0,20}writing|answer(?:ed)?.{0,20}writing') THEN 'on_notice' ELSE 'answered' END"
 
 
 def answer() -> Column:
@@ -167,14 +167,15 @@ def decider_supplier_rates(t) -> DataFrame:
     return v.withColumn("k", F.lit(1)).join(m.withColumn("k", F.lit(1)), "k").select("tender_motions", "votes_on_tender_motions", (F.col("d") / F.col("votes_on_tender_motions")).alias("declared_rate"), (F.col("all_d") / F.col("n")).alias("base_rate"))
 
 
-@named("""SELECT a.meeting_id, a.item_number, a.id AS agenda_motion_id, b.id AS minutes_motion_id, b.outcome IN ('lost', 'deferred') AS diverged FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, item_number ORDER BY id DESC) AS rn FROM motions WHERE id % 2 = 0) a
-    JOIN (SELECT *, row_number() OVER (PARTITION BY meeting_id, item_number ORDER BY id DESC) AS rn FROM motions WHERE id % 2 = 0 AND id % 3 = 0) b ON a.meeting_id = b.meeting_id AND trim(a.item_number) = trim(b.item_number) AND a.rn = 1 AND b.rn = 1""")
+@named("""WITH n AS (SELECT *, trim(item_number) AS number FROM items WHERE trim(item_number) <> ''), l AS (SELECT meeting_id, number, side, max(id) AS id FROM n GROUP BY ALL)
+    SELECT a.meeting_id, a.number AS item_number, a.id AS agenda_motion_id, b.id AS minutes_motion_id, m.outcome IN ('lost', 'deferred') AS diverged
+    FROM l a JOIN l b ON a.meeting_id = b.meeting_id AND a.number = b.number AND a.side = 'agenda' AND b.side = 'minutes' JOIN motions m ON m.id = b.id""")
 def officer_divergence_exact(t) -> DataFrame:
-    """Agenda and minutes items of one date matched by trimmed number; the last of a number wins."""
-    last = lambda df, name: df.withColumn("rn", F.row_number().over(Window.partitionBy("meeting_id", "item_number").orderBy(F.desc("id")))).filter("rn = 1").select("meeting_id", F.trim("item_number").alias("item_number"), F.col("id").alias(name), "outcome")
-    a = last(t.motions.filter("id % 2 = 0"), "agenda_motion_id").drop("outcome")
-    b = last(t.motions.filter("id % 2 = 0 AND id % 3 = 0"), "minutes_motion_id")
-    return a.join(b, ["meeting_id", "item_number"]).select("meeting_id", "item_number", "agenda_motion_id", "minutes_motion_id", F.col("outcome").isin("lost", "deferred").alias("diverged"))
+    """Agenda and minutes items of one date matched by trimmed number; the last of a number on its side wins. Items without a number are left to the fuzzy pass."""
+    numbered = t.items.select("meeting_id", F.trim("item_number").alias("item_number"), "id", "side", "outcome").filter("item_number != ''")
+    last = lambda side, **columns: numbered.filter(F.col("side") == side).groupBy("meeting_id", "item_number").agg(F.max(F.struct("id", "outcome")).alias("x")).select("meeting_id", "item_number", *(F.col(f"x.{c}").alias(n) for n, c in columns.items()))
+    both = last("agenda", agenda_motion_id="id").join(last("minutes", minutes_motion_id="id", outcome="outcome"), ["meeting_id", "item_number"])
+    return both.select("meeting_id", "item_number", "agenda_motion_id", "minutes_motion_id", F.col("outcome").isin("lost", "deferred").alias("diverged"))
 
 
 @named()

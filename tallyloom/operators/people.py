@@ -164,6 +164,13 @@ def power_over_terms(t) -> DataFrame:
     return p.join(F.broadcast(k), "councillor_id", "left_semi")
 
 
+@named(f"""WITH d AS (SELECT *, cast(floor((year - 1995) / 4) * 4 + 1995 AS int) AS term FROM ({_DECIDED}) x), p AS (SELECT councillor_id, term, count(*) AS n, count(CASE WHEN won THEN 1 END) / count(*) AS win_rate FROM d GROUP BY 1, 2 HAVING count(*) >= 10),
+    k AS (SELECT councillor_id FROM p GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(n) DESC, councillor_id LIMIT 6) SELECT councillor_id, sum(n)::BIGINT AS n, max(win_rate) - min(win_rate) AS swing FROM p JOIN k USING (councillor_id) GROUP BY 1""")
+def power_swings(t) -> DataFrame:
+    """How far each long-serving person's win rate moves between terms."""
+    return power_over_terms(t).groupBy("councillor_id").agg(F.sum("n").alias("n"), (F.max("win_rate") - F.min("win_rate")).alias("swing"))
+
+
 @named(f"""WITH d AS ({_DECIDED}) SELECT count(*) AS n_votes, count(CASE WHEN outcome = 'carried' THEN 1 END) / count(*) AS base_carry_rate, count(CASE WHEN outcome = 'lost' THEN 1 END) / count(*) AS base_fail_rate FROM d""")
 def base_rates(t) -> DataFrame:
     return decided_votes(t).agg(F.count(F.lit(1)).alias("n_votes"), (count_if(F.col("outcome") == "carried") / F.count(F.lit(1))).alias("base_carry_rate"), (count_if(F.col("outcome") == "lost") / F.count(F.lit(1))).alias("base_fail_rate"))

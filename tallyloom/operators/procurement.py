@@ -9,8 +9,11 @@ from ..functions.columns import count_if, ratio
 from ..functions.text import firm_key, is_placeholder, reference_key
 from ..registry import named
 
-_KEY = "regexp_replace(replace(replace(lower(awarded_to), 'pty ltd', ''), 'pty', ''), '[.,\\s]', '', 'g')"
-_PLACE = "regexp_matches(awarded_to, '(?i)^\\s*(respondent|tenderer)\\s*\\d+\\s*$')"
+_KEY = "lower(trim(awarded_to))"
+for _ending in (" pty ltd", " pty. ltd.", " pty ltd.", " ltd", " pty", " p/l"):
+    _KEY = f"replace({_KEY}, '{_ending}', '')"
+_KEY = f"regexp_replace({_KEY}, '[.,\\s]', '', 'g')"
+_PLACE = "regexp_matches(lower(trim(awarded_to)), '^(respondent|tenderer|contractor|supplier|bidder|proponent|applicant|submitter|company|party|entity)\\b[\\s\\-#:.]*\\d*$')"
 _REF = "regexp_replace(lower(reference_number), '[^a-z0-9]', '', 'g')"
 
 
@@ -106,3 +109,12 @@ def surname_chance_baseline(t) -> DataFrame:
     s = t.councillors.groupBy("family_name").agg(F.count(F.lit(1)).alias("hits"))
     one = t.councillors.agg(F.count(F.lit(1)).alias("people")).withColumn("k", F.lit(1)).join(t.tenders.agg(F.count(F.lit(1)).alias("awards")).withColumn("k", F.lit(1)), "k")
     return s.withColumn("k", F.lit(1)).join(F.broadcast(one), "k").select("family_name", (F.col("hits") / F.col("people") * F.col("awards")).alias("expected"))
+
+
+@named("""WITH w AS (SELECT DISTINCT id, regexp_extract(awarded_to, '([0-9]+)', 1) AS digits FROM tenders), c AS (SELECT count(*) AS collisions FROM w JOIN councillors p ON regexp_extract(p.slug, '([0-9]+)', 1) = digits WHERE digits <> ''),
+    s AS (SELECT family_name, count(*) AS hits FROM councillors GROUP BY 1) SELECT collisions, (SELECT sum(hits) FROM s) / (SELECT count(*) FROM councillors) * (SELECT count(*) FROM tenders) AS expected FROM c""")
+def collisions_against_chance(t) -> DataFrame:
+    """Name matches of winners and voters, and how many chance alone would give over all surnames."""
+    found = decider_supplier_collisions(t).agg(F.coalesce(F.sum("collisions"), F.lit(0)).alias("collisions"), F.lit(1).alias("k"))
+    chance = surname_chance_baseline(t).agg(F.sum("expected").alias("expected"), F.lit(1).alias("k"))
+    return found.join(chance, "k").select("collisions", "expected")

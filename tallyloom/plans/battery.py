@@ -25,13 +25,16 @@ def grade(good: str, bad: str | None = None) -> str:
     return f"CASE WHEN value IS NULL THEN 'not_computable' WHEN {good} THEN 'supportive' {rest} END"
 
 
+ON_NOTICE_RATE = "sum(CASE WHEN era = '{0}' AND status = 'on_notice' THEN n ELSE 0 END) / sum(CASE WHEN era = '{0}' AND status <> 'blank' THEN n END)"
+#: The grade of tests that describe and don't judge.
+DESCRIBED = "CASE WHEN value IS NULL THEN 'not_computable' ELSE 'neutral' END"
+
 #: (test, query, value, number of rows behind it, grade)
 TESTS: list[tuple[str, str, str, str, str]] = [
-    ("threshold_gaming", "threshold_bins", f"{pick('n', 'bin = ' + repr('just below'))} / {pick('n', 'bin = ' + repr('just above'))}", "sum(n)", grade("value <= 1.6")),
+    ("threshold_gaming", "threshold_bins", f"coalesce({pick('n', 'bin = ' + repr('just below'))} / {pick('n', 'bin = ' + repr('just above'))}, 0)", "sum(n)", grade("value <= 1.6")),
     ("procurement_incumbency", "incumbency", "avg(CASE WHEN top10 AND repeat_winner THEN 1e0 ELSE 0 END)", "count(*)", grade("value = 0")),
-    ("tender_concentration", "tender_concentration", "max(top10_share)", "sum(total_awards)", grade("value < 0.5")),
-    ("decider_supplier_conflict", "decider_supplier_rates", "max(declared_rate - base_rate)", "sum(tender_motions)", grade("value >= 0", "value < -0.05")),
-    ("surname_collisions", "decider_supplier_collisions", "sum(collisions) / count(*)", "sum(collisions)", grade("value <= 1")),
+    ("tender_concentration", "tender_concentration", "max(top10_share)", "sum(total_awards)", DESCRIBED),
+    ("decider_supplier_conflict", "collisions_against_chance", "max(collisions - expected)", "max(collisions)", "CASE WHEN value IS NULL THEN 'not_computable' WHEN value <= 0 THEN 'supportive' ELSE 'neutral' END"),
     ("recusal_overall", "conflict_recusal", "max(declared_recused / declared_total)", "sum(declared_total)", grade("value >= 0.5")),
     ("recusal_trend", "recusal_by_year", f"{pick('must_leave_rate', 'year = 2000')} - {pick('must_leave_rate', 'year = 1995')}", "sum(declared)", grade("value > 0.05", "value < -0.05")),
     ("delegate_body_conflict", "delegate_windows", f"{pick('declared_rate', 'affiliated')} - {pick('declared_rate', 'NOT affiliated')}", "sum(votes)", grade("value >= 0", "value < -0.05")),
@@ -39,22 +42,22 @@ TESTS: list[tuple[str, str, str, str, str]] = [
     ("repeat_applicant", "applicant_frequency", "max(approval_rate) - min(approval_rate)", "sum(n)", grade("value <= 0.05", "value > 0.14")),
     ("objection_dose", "objection_dose", f"{pick('refusal_rate', 'bucket = ' + repr('5+'))} - {pick('refusal_rate', 'bucket = ' + repr('0'))}", "sum(n)", grade("value >= 0.1", "value < 0")),
     ("officer_divergence", "officer_divergence_exact", "avg(CASE WHEN diverged THEN 0e0 ELSE 1 END)", "count(*)", grade("value < 0.85")),
-    ("voting_power", "power_over_terms", "max(win_rate) - min(win_rate)", "sum(n)", grade("value > 0.15", "value <= 0.05")),
+    ("voting_power", "power_swings", "max(swing)", "sum(n)", "CASE WHEN value IS NULL THEN 'not_computable' WHEN value > 0.15 THEN 'neutral' ELSE 'critical' END"),
     ("oversight_body_capture", "oversight_capture", f"abs({pick('win_rate', 'appointee')} - {pick('win_rate', 'NOT appointee')})", "sum(votes)", grade("value <= 0.1")),
     ("unanimity_trend", "unanimity_trend", "max(contested_share) - min(contested_share)", "sum(carried)", grade("value <= 0.1", "value > 0.3")),
     ("mayoral", "mayoral_interval", f"{pick('contest_rate', 'mayor')} - {pick('contest_rate', 'NOT mayor')}", "sum(moved)", grade("value >= -0.05")),
-    ("sponsorship", "sponsorship_lift", "avg(CASE WHEN lift >= 1.8 THEN 1e0 ELSE 0 END)", "count(*)", grade("value < 0.5")),
-    ("tenure", "tenure_summary", "max(median_years)", "sum(n_councillors)", grade("value < 12")),
+    ("sponsorship", "sponsorship_lift", "avg(CASE WHEN lift >= 1.8 THEN 1e0 ELSE 0 END)", "count(*)", DESCRIBED),
+    ("tenure", "tenure_summary", "max(median_years)", "sum(n_councillors)", DESCRIBED),
     ("freshman", "freshman_effect", f"{pick('rate', 'first_year')} - {pick('rate', 'NOT first_year')}", "sum(n)", grade("abs(value) <= 0.05")),
     ("election_cycle", "election_cycle", f"{pick('rate', 'in_window')} - {pick('rate', 'NOT in_window')}", "sum(n)", grade("abs(value) <= 0.05")),
     ("attendance", "attendance_split", "sum(CASE WHEN kind IN ('non_attendance', 'unknown') THEN n ELSE 0 END) / sum(n)", "sum(n)", grade("value <= 0.1")),
     ("transparency", "transparency_peak", "max(peak_share - pre_share)", "count(*)", grade("value <= 0.1")),
     ("confidential_tender_size", "confidential_median", f"{pick('median_amount', 'is_confidential')} / {pick('median_amount', 'NOT is_confidential')}", "sum(n)", grade("value <= 1.2")),
-    ("confidential_topics", "topic_lift", "max(lift) - min(lift)", "sum(n)", grade("value <= 0.5")),
+    ("confidential_topics", "topic_lift", f"{pick('lift', 'theme = ' + repr('development'))} - min(lift)", "sum(n)", grade("value <= 0")),
     ("eoy_spending", "eoy_share", "max(dollar_share)", "count(*)", grade("value < 2 * 17 / 100.0")),
     ("engagement", "engagement_by_year", "avg(total)", "sum(total)", grade("value >= 10")),
     ("deputation_dissent", "deputation_semi", f"{pick('contest_rate', 'with_deputation')} - {pick('contest_rate', 'NOT with_deputation')}", "sum(n)", grade("value >= 0")),
-    ("question_responsiveness", "questions_by_year", "avg(on_notice_rate)", "sum(n)", grade("value <= 0.3")),
+    ("question_responsiveness", "question_responsiveness", f"{ON_NOTICE_RATE.format('post')} - {ON_NOTICE_RATE.format('pre')}", "sum(n)", grade("value < -0.05", "value > 0.05")),
 ]
 #: Tests that the record can't answer.
 OPEN = ("single_source", "reserve_trajectory")
@@ -84,14 +87,24 @@ def battery(t) -> DataFrame:
     return out
 
 
-_BAND = "CASE WHEN decisive < 5 THEN 'insufficient' WHEN critical / decisive <= 0.2 THEN 'strong' WHEN critical / decisive <= 0.4 THEN 'sound' WHEN critical / decisive <= 0.6 THEN 'mixed' ELSE 'weak' END"
+#: What a test is about; two critical tests of one subject keep a record out of the best band.
+SUBJECTS = {
+    "procurement": ("threshold_gaming", "procurement_incumbency", "tender_concentration", "decider_supplier_conflict", "single_source", "eoy_spending", "reserve_trajectory"),
+    "conflict": ("recusal_overall", "recusal_trend", "delegate_body_conflict", "oversight_body_capture"),
+    "planning": ("big_dollar_leniency", "repeat_applicant", "objection_dose", "officer_divergence"),
+    "governance": ("voting_power", "unanimity_trend", "mayoral", "sponsorship", "tenure", "freshman", "election_cycle", "attendance"),
+    "openness": ("transparency", "confidential_tender_size", "confidential_topics", "engagement", "deputation_dissent", "question_responsiveness"),
+}
+_MOST = "greatest(" + ", ".join("count(CASE WHEN valence = 'critical' AND test_id IN (" + ", ".join(f"'{x}'" for x in names) + ") THEN 1 END)" for names in SUBJECTS.values()) + ")"
 _SUMMARY = "count(CASE WHEN valence = 'supportive' THEN 1 END) AS supportive, count(CASE WHEN valence = 'neutral' THEN 1 END) AS neutral, count(CASE WHEN valence = 'critical' THEN 1 END) AS critical, count(CASE WHEN valence = 'not_computable' THEN 1 END) AS not_computable, count(CASE WHEN valence IN ('supportive', 'critical') THEN 1 END) AS decisive"
+#: A band needs six tenths of the tests computable and eight decisive ones.
+_BAND = "CASE WHEN decisive < 8 OR (supportive + neutral + critical) < 0.6 * (supportive + neutral + critical + not_computable) THEN 'insufficient' WHEN critical / decisive <= 0.2 AND most_of_a_subject < 2 THEN 'green' WHEN critical / decisive <= 0.45 THEN 'yellow' ELSE 'red' END"
 
 
-@named(f"SELECT *, {_BAND} AS band FROM (SELECT {_SUMMARY} FROM ({_TEST_SQL}) b) s")
+@named(f"SELECT *, {_BAND} AS band FROM (SELECT {_SUMMARY}, {_MOST} AS most_of_a_subject FROM ({_TEST_SQL}) b) s")
 def rating_band(t) -> DataFrame:
-    """Counts by grade and the band of the critical share among decisive tests; too few decisive tests give no band."""
-    return battery(t).selectExpr(*_parts()).selectExpr("*", f"{_BAND} AS band")
+    """Counts by grade and the band of the critical share among decisive tests; too few computable or decisive tests give no band."""
+    return battery(t).selectExpr(*_parts(), f"{_MOST} AS most_of_a_subject").selectExpr("*", f"{_BAND} AS band")
 
 
 def _parts() -> list[str]:
@@ -106,7 +119,7 @@ SHARES: list[tuple[str, str, str, str]] = [
     ("attendance", "attendance_split", "sum(CASE WHEN kind IN ('non_attendance', 'unknown') THEN n ELSE 0 END)", "sum(n)"),
     ("recusal_overall", "conflict_recusal", "sum(declared_recused)", "sum(declared_total)"),
     ("tender_concentration", "tender_concentration", "sum(redacted_awards)", "sum(total_awards)"),
-    ("decider_supplier_conflict", "relationship_edges", "count(CASE WHEN kind = 'ally' THEN 1 END)", "count(*)"),
+    ("decider_supplier_conflict", "decider_supplier_rates", "sum(declared_rate * votes_on_tender_motions)", "sum(votes_on_tender_motions)"),
     ("tally_match", "tally_reconcile", "sum(matched)", "sum(checked)"),
     ("term_coverage", "term_coverage", "sum(with_terms)", "sum(voters)"),
     ("attendance_vs_votes", "attendance_vs_votes", "sum(reconciled)", "sum(checked)"),

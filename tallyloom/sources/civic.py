@@ -45,7 +45,7 @@ ROLES: dict[str, str] = {
         CASE WHEN l_linenumber = 7 THEN NULL WHEN l_partkey % 19 = 0 THEN 'X1' ELSE cast(l_orderkey % 40 AS string) END AS item_reference,
         CASE WHEN l_partkey % 5 = 0 THEN 'left the meeting' WHEN l_partkey % 7 = 0 THEN 'approval under 5.69' ELSE 'stayed' END AS description FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'F'""",
     "tenders": f"""SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS id, {_ODAY} AS meeting_id, year(o_orderdate) AS year, month(o_orderdate) AS month, concat('RFT-', cast(l_partkey % 700 AS string)) AS reference_number,
-        CASE WHEN l_partkey % 23 = 0 THEN concat('Respondent ', cast(l_linenumber AS string)) WHEN l_linenumber % 3 = 0 THEN concat(s_name, ' Pty Ltd') WHEN l_linenumber % 3 = 1 THEN upper(s_name) ELSE s_name END AS awarded_to,
+        CASE WHEN l_partkey % 23 = 0 THEN concat(CASE WHEN l_linenumber % 2 = 0 THEN 'Respondent ' ELSE 'Tenderer-' END, cast(l_linenumber AS string)) WHEN l_linenumber % 3 = 0 THEN concat('Works ', substr(s_name, 10), ' Pty Ltd') WHEN l_linenumber % 3 = 1 THEN concat('WORKS ', substr(s_name, 10)) ELSE concat('Works ', substr(s_name, 10), ' P/L') END AS awarded_to,
         CASE WHEN l_tax = 0 THEN NULL ELSE l_extendedprice * 4 END AS amount, l_discount >= 0.08 AS is_confidential, l_suppkey AS firm_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 45""",
     "appointments": f"""SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS id, {_ODAY} AS meeting_id, cast(o_orderdate AS date) AS meeting_date, l_suppkey AS councillor_id,
         CASE WHEN l_partkey % 2 = 0 THEN 'member' ELSE 'deputy' END AS role, concat('Body ', cast(l_partkey % 5 AS string)) AS body_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND l_quantity > 46""",
@@ -57,7 +57,7 @@ ROLES: dict[str, str] = {
     "deputations": "SELECT event_id AS id, 19950101 + (event_id % 7) * 10000 + (event_id % 12) * 100 + event_id % 28 AS meeting_id FROM events WHERE event_type = 'click'",
     "petitions": "SELECT event_id AS id, 19950101 + (event_id % 7) * 10000 + (event_id % 12) * 100 + event_id % 28 AS meeting_id, event_id % 300 AS signatory_count FROM events WHERE event_type = 'signup'",
     "questions": """SELECT q.conv_id * 100 + q.turn AS id, 19950101 + (q.conv_id % 7) * 10000 + (q.conv_id % 12) * 100 + q.conv_id % 28 AS meeting_id, 1995 + q.conv_id % 7 AS year, q.text AS question,
-        CASE WHEN q.turn % 4 = 2 THEN 'Taken on notice.' ELSE a.text END AS response FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""",
+        CASE WHEN q.turn % 4 = 2 THEN CASE WHEN q.conv_id % 3 = 0 THEN 'A response will be provided in writing.' WHEN q.conv_id % 3 = 1 THEN 'Not answered at the meeting' ELSE 'Taken on notice.' END ELSE a.text END AS response FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""",
 }
 
 
