@@ -56,6 +56,9 @@ ROLES: dict[str, str] = {
         l_discount > 0.055 AS is_confidential FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity BETWEEN 10 AND 14""",
     "deputations": "SELECT event_id AS id, 19950101 + (event_id % 7) * 10000 + (event_id % 12) * 100 + event_id % 28 AS meeting_id FROM events WHERE event_type = 'click'",
     "petitions": "SELECT event_id AS id, 19950101 + (event_id % 7) * 10000 + (event_id % 12) * 100 + event_id % 28 AS meeting_id, event_id % 300 AS signatory_count FROM events WHERE event_type = 'signup'",
+    # What an extraction quotes of each document: a verbatim piece, one whose spaces are lost, a passage of its own, and every third time nothing.
+    "quotes": """SELECT doc_id, 1 AS quote_id, substr(text, 11, 120) AS quote FROM documents UNION ALL SELECT doc_id, 2, replace(substr(text, 61, 90), ' ', '') FROM documents
+        UNION ALL SELECT d.doc_id, 3, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 UNION ALL SELECT doc_id, 4, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substr(text, 200, 300) END FROM documents""",
     "questions": """SELECT q.conv_id * 100 + q.turn AS id, 19950101 + (q.conv_id % 7) * 10000 + (q.conv_id % 12) * 100 + q.conv_id % 28 AS meeting_id, 1995 + q.conv_id % 7 AS year, q.text AS question,
         CASE WHEN q.turn % 4 = 2 THEN CASE WHEN q.conv_id % 3 = 0 THEN 'A response will be provided in writing.' WHEN q.conv_id % 3 = 1 THEN 'Not answered at the meeting' ELSE 'Taken on notice.' END ELSE a.text END AS response FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""",
 }
