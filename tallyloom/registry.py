@@ -34,7 +34,7 @@ def named(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .operators import conflicts, evidence, people, planning, procurement, records, sponsorship, validation, verification  # noqa: F401
+    from .operators import conflicts, evidence, identity, people, planning, procurement, records, sponsorship, validation, verification  # noqa: F401
     from .plans import battery, digest, gates  # noqa: F401  (after the operators, whose SQL they use)
     from .streaming import windows  # noqa: F401
 

@@ -18,6 +18,9 @@ _ODAY = _DAY.format(d="o_orderdate")
 #: In an order in which each may use those before. Shared dialect: runs on Spark and on DuckDB.
 ROLES: dict[str, str] = {
     "councillors": "SELECT s_suppkey AS id, concat('Given', cast(s_suppkey % 17 AS string)) AS given_name, concat('Family', cast(s_suppkey % 60 AS string)) AS family_name, s_name AS slug FROM supplier",
+    # The same persons as extractions spell them: with honorifics, swapped fields and placeholders.
+    "roster": """SELECT id, CASE WHEN id % 5 = 0 THEN concat('Cr ', given_name) WHEN id % 7 = 0 THEN 'Unknown' WHEN id % 11 = 0 THEN family_name ELSE given_name END AS given_name,
+        CASE WHEN id % 13 = 0 AND id % 5 <> 0 THEN 'Mayor' ELSE family_name END AS family_name FROM councillors""",
     "terms": """SELECT s_suppkey AS councillor_id, CASE WHEN s_suppkey % 10 = 0 THEN 'Mayor' ELSE 'Councillor' END AS role, cast('1995-06-01' AS date) AS term_start,
         CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE cast('1999-05-31' AS date) END AS term_end FROM supplier WHERE s_suppkey % 13 <> 5""",
     "meetings": f"""SELECT id, meeting_date, CASE id % 4 WHEN 0 THEN 'ordinary' WHEN 1 THEN 'special' WHEN 2 THEN 'committee' ELSE 'briefing' END AS meeting_type,
