@@ -3,7 +3,10 @@
 A scanner finds tags, text and comments; a tree builder opens and closes
 elements with the implied tags of HTML (a paragraph ends before a block, a list
 item before the next, cells and rows before their like, everything at the end
-of the page); visibility rules drop what a browser shows nowhere; a renderer
+of the page); style sheets and attributes decide what a browser shows on a
+screen (``display`` removes an element, ``visibility`` hides text that inner
+elements may show again; selectors of tags, classes and ids under descendant and
+child combinators count); a renderer
 writes blocks on lines of their own, paragraphs and headings with an empty line
 around, list items with their mark and depth, and table cells in columns of one
 width.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +37,9 @@ ESCAPABLE_RAW = frozenset("title textarea".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption legend".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure article section header footer main nav aside form fieldset hr".split())
 ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption option optgroup legend".split())
-UNSEEN = frozenset("head script style template noembed noframes iframe object audio video canvas svg math datalist meta link title param source track area base".split())
+UNSEEN = frozenset("head script style template noembed noframes iframe object audio video canvas datalist meta link title param source track area base".split())
+UNSEEN_IN_PICTURES = frozenset("desc defs symbol metadata clippath mask pattern marker annotation annotation-xml".split())
+WITHOUT_TEXT = frozenset("hidden checkbox radio password file color range image".split())
 # What a start tag closes: the like elements, up to the nearest of these borders.
 IMPLIED = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", "dir"))),
@@ -52,9 +58,10 @@ SCOPE = frozenset("table td th caption button html template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'=<>`]+)))?")
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_PLAIN_SELECTOR = re.compile(r"^(?:([a-z][\w-]*)|\.([\w-]+)|#([\w-]+))$", re.I)
+_SHOWING = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_COMPOUND = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
+_SCREEN = re.compile(r"\s*(?:only\s+)?(?:screen|all)?\s*", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -77,10 +84,26 @@ def build(page: str) -> tuple[Node, list[str]]:
     """The tree of a page and the texts of its style sheets."""
     root = Node("#root", {}, None)
     at, styles, pos = root, [], 0
+    opened: Counter[str] = Counter()  # open elements by tag, so that what is not open is not looked for
+
+    def enter(node: Node) -> None:
+        nonlocal at
+        at = node
+        opened[node.tag] += 1
+
+    def leave(node: Node) -> None:
+        """Close everything up to the node."""
+        nonlocal at
+        end = node.parent
+        while at is not end:
+            opened[at.tag] -= 1
+            at = at.parent
 
     def close(tags: frozenset, border: frozenset, all_: bool = False) -> None:
         """Close the nearest open element of these (or all up to the border) and what is open in it."""
         nonlocal at
+        if not any(opened[t] for t in tags):
+            return
         n, last = at, None
         while n is not root and n.tag not in border:
             if n.tag in tags:
@@ -89,7 +112,7 @@ def build(page: str) -> tuple[Node, list[str]]:
                     break
             n = n.parent
         if last is not None:
-            at = last.parent
+            leave(last)
 
     while pos < len(page):
         m = _TOKEN.search(page, pos)
@@ -109,17 +132,17 @@ def build(page: str) -> tuple[Node, list[str]]:
             elif tag == "br":
                 at.children.append(Node("br", {}, at))
             else:
-                close(frozenset((tag,)), BLOCK | SCOPE)
+                close(frozenset((tag,)), BLOCK | SCOPE if tag != "select" else SCOPE)
             continue
         if tag in ENDS_P:
             close(frozenset(("p",)), SCOPE)
         if tag in IMPLIED:
             close(*IMPLIED[tag], all_=tag in ("tr", "tbody", "thead", "tfoot"))
         elif at.tag == "head" and tag not in UNSEEN and tag != "noscript":
-            at = at.parent
+            leave(at)
         if tag in ("td", "th") and at.tag in ("table", "tbody", "thead", "tfoot"):
             at.children.append(Node("tr", {}, at))
-            at = at.children[-1]
+            enter(at.children[-1])
         node = Node(tag, attributes(m[3]), at)
         at.children.append(node)
         if tag in RAW or tag in ESCAPABLE_RAW:
@@ -130,38 +153,118 @@ def build(page: str) -> tuple[Node, list[str]]:
             node.children.append(html.unescape(body) if tag in ESCAPABLE_RAW else body)
             pos = max(end.end(), pos)
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path")):
-            at = node
+            enter(node)
     return root, styles
 
 
-def hiding_rules(styles: list[str]) -> tuple[frozenset, frozenset, frozenset]:
-    """Tags, classes and ids that plain selectors of the style sheets hide."""
-    found: tuple[set, set, set] = (set(), set(), set())
-    for sheet in styles:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _HIDING.search(body):
-                for s in selectors.split(","):
-                    if m := _PLAIN_SELECTOR.match(s.strip()):
-                        for kind, name in zip(found, m.groups()):
-                            if name:
-                                kind.add(name.lower() if kind is found[0] else name)
-    return tuple(map(frozenset, found))
+class Rule:
+    """A selector of compounds (tag, classes, ids) under descendant and child combinators, and what it says about display and visibility."""
+
+    __slots__ = ("parts", "rank", "says")
+
+    def __init__(self, parts: list[tuple[str, str, frozenset, frozenset]], says: dict[str, str], order: int):
+        self.parts, self.says = parts, says
+        self.rank = (sum(len(p[3]) for p in parts), sum(len(p[2]) for p in parts), sum(p[1] not in ("", "*") for p in parts), order)
+
+    def fits(self, node: Node, k: int = -1) -> bool:
+        """Whether compounds up to the ``k``th, counted from the end, fit the node and those above it."""
+        link, tag, classes, ids = self.parts[k]
+        if tag not in ("", "*", node.tag) or ids and node.attrs.get("id") not in ids or len(ids) > 1 or classes and not classes <= set(node.attrs.get("class", "").split()):
+            return False
+        if -k == len(self.parts):
+            return True
+        up = node.parent
+        while up is not None and up.tag != "#root":
+            if self.fits(up, k - 1):
+                return True
+            if link == ">":
+                return False
+            up = up.parent
+        return False
+
+
+def selector(text: str) -> list[tuple[str, str, frozenset, frozenset]] | None:
+    """Compounds with the combinator before each; None for selectors of any other kind."""
+    parts, link = [], ""
+    for word in text.replace(">", " > ").split():
+        if word == ">":
+            link = ">"
+            continue
+        m = _COMPOUND.fullmatch(word)
+        if not m or not word:
+            return None
+        names = re.findall(r"[.#][\w-]+", m[2])
+        parts.append((link, (m[1] or "").lower(), frozenset(n[1:] for n in names if n[0] == "."), frozenset(n[1:] for n in names if n[0] == "#")))
+        link = ""
+    return parts or None
+
+
+def says(declarations: str) -> dict[str, str]:
+    return {name.lower(): value.lower() for name, value in _SHOWING.findall(declarations)}
+
 
+def showing_rules(styles: list[str]) -> dict[str, list[Rule]]:
+    """Rules on display and visibility that hold on a screen, by what the last compound asks for: an id, a class, a tag or nothing.
 
-def visible(node: Node, rules: tuple[frozenset, frozenset, frozenset]) -> bool:
+    Blocks of ``@media`` count where a query names the screen or all media without more conditions; ``@supports`` and ``@layer`` count, other at-rules don't.
+    """
+    found: dict[str, list[Rule]] = {}
+    order = 0
+    for sheet in styles:
+        sheet = _COMMENT.sub("", sheet)
+        holds, start = [True], 0  # a flag for each open block; a rule's own block is not in here
+        pos = 0
+        while (m := re.compile(r"[{};]").search(sheet, pos)) is not None:
+            head = sheet[start : m.start()].strip()
+            pos = start = m.end()
+            if m[0] == "}":
+                if len(holds) > 1:
+                    holds.pop()
+            elif m[0] == "{":
+                if head.startswith("@"):
+                    name, _, rest = head[1:].partition(" ")
+                    applies = name.lower() in ("supports", "layer") or name.lower() == "media" and any(q.strip() and _SCREEN.fullmatch(q) for q in rest.split(","))
+                    holds.append(holds[-1] and applies)
+                    continue
+                end = sheet.find("}", pos)
+                body = sheet[pos : end if end >= 0 else len(sheet)]
+                pos = start = end + 1 if end >= 0 else len(sheet)
+                told = says(body)
+                if told and holds[-1]:
+                    for one in head.split(","):
+                        if (parts := selector(one)) is not None:
+                            order += 1
+                            _, tag, classes, ids = parts[-1]
+                            key = "#" + min(ids) if ids else "." + min(classes) if classes else tag or "*"
+                            found.setdefault(key, []).append(Rule(parts, told, order))
+    return found
+
+
+def shown(node: Node, rules: dict[str, list[Rule]], inherited: bool) -> tuple[bool, bool]:
+    """Whether the element is rendered at all, and whether its own text is visible."""
     tag, attrs = node.tag, node.attrs
-    if tag in UNSEEN or tag in rules[0]:
-        return False
-    if tag == "dialog" and "open" not in attrs or tag == "input" and attrs.get("type", "").lower() == "hidden":
-        return False
+    if tag in UNSEEN or tag == "dialog" and "open" not in attrs or tag == "input" and attrs.get("type", "").lower() == "hidden":
+        return False, False
     p = node.parent
     if p.tag == "details" and "open" not in p.attrs and tag != "summary":
-        return False
-    if not attrs:
-        return True
-    if "hidden" in attrs or _HIDING.search(attrs.get("style", "")) or attrs.get("id") in rules[2]:
-        return False
-    return not (rules[1] and rules[1].intersection(attrs.get("class", "").split()))
+        return False, False
+    if tag in UNSEEN_IN_PICTURES:
+        up = p
+        while up is not None:
+            if up.tag in ("svg", "math"):
+                return False, False
+            up = up.parent
+    told = {"display": "none"} if "hidden" in attrs else {}
+    if rules:
+        keys = [tag, "*", *("." + c for c in attrs.get("class", "").split()), "#" + attrs.get("id", "")]
+        for r in sorted((r for k in keys for r in rules.get(k, ()) if r.fits(node)), key=lambda r: r.rank):
+            told.update(r.says)
+    if "style" in attrs:
+        told.update(says(attrs["style"]))
+    if told.get("display") == "none":
+        return False, False
+    seen = told.get("visibility", "inherit")
+    return True, inherited if seen in ("inherit", "unset") else seen not in ("hidden", "collapse")
 
 
 class Lines:
@@ -196,22 +299,27 @@ class Lines:
         self.gap = True
 
 
-def render(root: Node, rules: tuple[frozenset, frozenset, frozenset]) -> str:
+def span(node: Node, name: str, most: int) -> int:
+    raw = node.attrs.get(name, "1").strip()
+    return min(most, max(1, int(raw))) if re.fullmatch(r"\d{1,9}", raw) else 1
+
+
+def render(root: Node, rules: dict[str, list[Rule]]) -> str:
     """Visible text of a tree; a stack of steps stands in for recursion."""
     out = Lines()
     frames: list[Lines] = []
-    todo: list[tuple] = [("in", root)]
+    todo: list[tuple] = [("in", root, True)]
     counts: list[list[int]] = []  # open lists: next number, or 0 for marks
-    rows: list[list[list[list[str]]]] = []  # open tables: rows of cells of lines
+    rows: list[list[list[tuple[list[str], int, int]]]] = []  # open tables: rows of cells of lines, with the columns and rows that they span
     pre = 0
     while todo:
-        step, node = todo.pop()
+        step, node, seen = todo.pop()
         if step == "out":
             tag = node.tag
             if tag in ("td", "th") and frames and rows:
                 out.end()
                 cell, out = out.done, frames.pop()
-                rows[-1][-1].append(cell)
+                rows[-1][-1].append((cell, span(node, "colspan", 1000), span(node, "rowspan", 65534)))
             elif tag == "table" and rows:
                 grid = rows.pop()
                 for line in aligned(grid):
@@ -244,6 +352,8 @@ def render(root: Node, rules: tuple[frozenset, frozenset, frozenset]) -> str:
                 out.end()
             continue
         if isinstance(node, str):
+            if not seen:
+                continue
             if pre:
                 first, *rest = node.replace("\r\n", "\n").split("\n")
                 out.line.append(first)
@@ -261,8 +371,10 @@ def render(root: Node, rules: tuple[frozenset, frozenset, frozenset]) -> str:
                 out.text(node)
             continue
         tag = node.tag
-        if node is not root and not visible(node, rules):
-            continue
+        if node is not root:
+            rendered, seen = shown(node, rules, seen)
+            if not rendered:
+                continue
         if tag == "br":
             out.end(keep_empty=bool(out.line) or not out.gap)
             continue
@@ -304,12 +416,12 @@ def render(root: Node, rules: tuple[frozenset, frozenset, frozenset]) -> str:
         elif tag in BLOCK:
             out.end()
         if tag == "input":
-            if node.attrs.get("type", "").lower() in ("submit", "reset", "button"):
+            if seen and node.attrs.get("type", "").lower() not in WITHOUT_TEXT:
                 out.text(node.attrs.get("value", ""))
             continue
-        todo.append(("out", node))
+        todo.append(("out", node, seen))
         shut = tag == "details" and "open" not in node.attrs
-        todo.extend(("in", c) for c in reversed(node.children) if not (shut and isinstance(c, str)))
+        todo.extend(("in", c, seen) for c in reversed(node.children) if not (shut and isinstance(c, str)))
     out.end()
     while frames:  # cells left open
         cell, out = out.done, frames.pop()
@@ -317,14 +429,43 @@ def render(root: Node, rules: tuple[frozenset, frozenset, frozenset]) -> str:
     return "\n".join(s.rstrip() for s in out.done).strip("\n")
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table: cells of a column have one width, two spaces apart; a cell of several lines takes several."""
-    rows = [r for r in rows if any(c for c in r)]
-    width = [max((len(s) for r in rows if len(r) > k for s in r[k]), default=0) for k in range(max(map(len, rows), default=0))]
-    out = []
+def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[dict[int, tuple[list[str], int]]]:
+    """Of each row its cells by column, with the columns that they span; a cell that spans rows keeps its columns free below."""
+    out: list[dict[int, tuple[list[str], int]]] = []
+    taken: dict[int, int] = {}  # of a column, rows that are still taken from above
     for r in rows:
-        for i in range(max(len(c) for c in r)):
-            out.append("  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(r, width)).rstrip())
+        line, at, below = {}, 0, {}
+        for cell, wide, tall in r:
+            while taken.get(at, 0):
+                at += 1
+            line[at] = (cell, wide)
+            if tall > 1:
+                below.update((k, tall - 1) for k in range(at, at + wide))
+            at += wide
+        taken = {k: n - 1 for k, n in taken.items() if n > 1} | below
+        out.append(line)
+    return out
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table: cells of a column have one width, two spaces apart; a cell of several lines takes several, one of several columns their joint width."""
+    grid = [r for r in placed(rows) if any(c for c, _ in r.values())]
+    used = sorted({k for r in grid for k in r})
+    order = {k: i for i, k in enumerate(used)}
+    width = [0] * len(used)
+    cells = [(order[k], sum(k <= u < k + wide for u in used), max(map(len, c), default=0)) for r in grid for k, (c, wide) in r.items()]
+    for at, wide, n in sorted(cells, key=lambda c: c[1]):
+        lack = n - sum(width[at : at + wide]) - 2 * (wide - 1)
+        if lack > 0:
+            width[at + wide - 1] += lack
+    out = []
+    for r in grid:
+        for i in range(max(len(c) for c, _ in r.values())):
+            line = ""
+            for k, (c, _) in sorted(r.items()):
+                line = line.ljust(sum(width[: order[k]]) + 2 * order[k])
+                line += c[i] if i < len(c) else ""
+            out.append(line.rstrip())
     return out
 
 
@@ -332,7 +473,7 @@ def visible_text(page: str | None) -> str | None:
     if page is None:
         return None
     root, styles = build(page)
-    return render(root, hiding_rules(styles))
+    return render(root, showing_rules(styles))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
