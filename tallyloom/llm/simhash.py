@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import stars
-from .shared import ship, stored
+from .shared import counted, ship, stored
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -178,17 +178,19 @@ def shard_stars(fp: np.ndarray, lives: np.ndarray, radius: int, *, leaf: int = 6
     return tied, root[tied]
 
 
-def link(fps: DataFrame, *, radius: int = 2, shard_rows: int = 32_768, sample_rows: int = 65_536, seed: int = 3) -> DataFrame:
+def link(fps: DataFrame, *, radius: int = 2, shard_rows: int = 32_768, sample_rows: int = 1 << 20, seed: int = 3) -> DataFrame:
     """Stars (u, v) over the distinct fingerprints in ``fps`` (column fp), v the smallest of a component.
 
-    ``sample_rows`` bounds the fingerprints that the driver gets to build the
-    tree of shards; they only decide where shards end.
+    The driver gets 64 fingerprints a shard, ``sample_rows`` at most, to build
+    the tree of shards; they only decide where shards end. Beyond
+    ``sample_rows`` / 64 shards (half a billion fingerprints) shards grow; a
+    shard holds 9 bytes a fingerprint and is searched by a tree of its own.
     """
     spark = fps.sparkSession
-    total = fps.count()
-    cut = int((1 << 30) * min(1.0, sample_rows / max(1, total)))
-    sample = fps.filter(F.pmod(F.xxhash64(F.lit(seed), "fp"), F.lit(1 << 30)) < cut)
+    total = counted(fps)
     leaves = max(1, min(-(-total // shard_rows), sample_rows // 64))
+    cut = int((1 << 30) * min(1.0, 64 * leaves / max(1, total)))
+    sample = fps.filter(F.pmod(F.xxhash64(F.lit(seed), "fp"), F.lit(1 << 30)) < cut)
     nodes = build_tree(sample.toArrow().column("fp").to_numpy().view(np.uint64), leaves, radius) if leaves > 1 else []
     held = spark.sparkContext.broadcast(nodes)  # under sample_rows / 64 entries
 
