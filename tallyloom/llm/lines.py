@@ -3,26 +3,28 @@
 Native: DataFrame functions only. A line is the set of its tokens (runs without
 white space); two lines match if their sets have a Jaccard similarity of 0.8 or
 more; a line goes if it matches an earlier line (by document id, then line
-number), be that one kept or not. Sets of fewer than ``min_tokens`` tokens are
-left alone (1: every line with a token takes part).
+number), be that one kept or not. Every line with a token takes part.
 
-Tokens are 64-bit keys in an order by rarity: counts over all documents in
-65,536 hash classes, the rarest class first, then another hash. The prefix of a set
-(its n - ceil(0.8 n) + 1 rarest tokens) must meet the prefix of any match. Sets
-that share a prefix token are filtered by length, by the tokens' positions and
-by a parity bitmap of 64 or 256 bits that bounds the difference from below; what is left
-is verified on the whole sets. Lines of one set stand as its first. Sets of
-up to 3 tokens reach 0.8 with their own copies only and stay out of the join.
+Tokens are keys of 64 bits in an order by rarity: counts over all documents in
+65,536 hash classes, the rarest class first, then 48 bits of another hash. The prefix of a set (its n - ceil(0.8 n) + 1 rarest tokens) must
+meet the prefix of any match. Sets that share a prefix token are filtered by
+length, by the places of their first common token and by a parity bitmap of 64
+or 128 bits that bounds the difference from below; what is left is verified on
+the whole sets. Lines of one set stand as its first. Sets of up to 3 tokens
+reach 0.8 with their own copies only and stay out of the join.
 
 A group of many like lines would join with itself in all pairs. So a first
 round compares each set only with the first and the previous one that it meets
-at one of a few places (its rarest token, pairs of tokens further on), and what it finds to be gone asks no more in the second
-round, which joins all others with everything.
+at one of two places (pairs of tokens on the way from rare to frequent), and
+what it finds to be gone asks no more in the second round, which joins all others
+with everything.
 
 Defined cases: null and empty texts have no lines to remove; documents with a
-null id are kept as they are and remove nothing; rows that share an id share
-its line numbers, and lines of one place don't remove each other. Extra
-columns stay.
+null id are kept as they are and remove nothing. Different texts under one id
+are documents of their own, in the order of a hash of the text; rows that repeat
+id and text are one document and lose the same lines. Extra columns stay, under
+whatever name; an input column ``lines_gone`` stays too, the count then stands
+under the next free name (``lines_gone_``).
 """
 
 from __future__ import annotations
@@ -30,63 +32,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, free, small, stored, tidy
 
 CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
-#: Sets of so many tokens and more have a bitmap of 256 bits, smaller ones of 64.
+REST = 64 - CLASS_BITS
+#: Sets of so many tokens and more have a bitmap of 128 bits, smaller ones of 64.
 WIDE = 72
 #: The smallest set that can match another one: 4 of 5 tokens.
 JOINED = 4
 SPACES = r"[\x20\x09-\x0D]+"
 #: Pairs of places in the order by rarity, as shares of the size, whose tokens bring like sets together in the first round.
-MEETINGS = ((0.3, 0.5), (0.25, 0.4))
-#: A side of at most so many rows of a few numbers is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+MEETINGS = ((0.3, 0.5), (0.6, 0.8))
+#: Where a line stands, in the order of the documents.
+PLACE = ("doc_id", "text_hash", "line_no")
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def tokens(line: Column) -> Column:
+    """The runs of a line without white space. The regular expression cuts only where there is more than single spaces."""
+    odd = (line == "") | line.startswith(" ") | line.endswith(" ") | line.contains("  ") | line.rlike("[\t\x0b\x0c\r]")
+    return F.when(odd, F.array_remove(F.split(line, SPACES), "")).otherwise(F.split(line, " "))
 
 
 def class_of(token: Column) -> Column:
     return F.hash(token).bitwiseAND(F.lit(CLASSES - 1))
 
 
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no and line, of documents (doc_id, text). The hash is made before the lines, or each of them would carry the text."""
+    hashed = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("parts"))
+    return hashed.select("doc_id", "text_hash", F.posexplode("parts").alias("line_no", "line"))
+
+
 def rarity(docs: DataFrame) -> Column:
-    """A constant array: the place of each hash class in the order of its count. The driver gets one count a class."""
-    words = docs.select(F.explode(F.split("text", SPACES)).alias("w")).filter("w != ''")
-    counts = dict(words.groupBy(class_of(F.col("w")).alias("c")).count().collect())
-    place = {c: i for i, c in enumerate(sorted(range(CLASSES), key=lambda c: (counts.get(c, 0), c)))}
-    return F.split(F.lit(",".join(str(place[c] - CLASSES // 2) for c in range(CLASSES))), ",").cast("array<int>")  # folded to one constant
+    """A constant array: the place of each class in the order of counts, from -32,768 on. The driver gets one count a class."""
+    words = lines_of(docs).select(F.explode(tokens(F.col("line"))).alias("w"))
+    with tidy(docs.sparkSession):
+        counts = dict(words.groupBy(class_of(F.col("w")).alias("c")).count().collect())
+    places = [0] * CLASSES
+    for at, c in enumerate(sorted(range(CLASSES), key=lambda c: (counts.get(c, 0), c))):
+        places[c] = at - CLASSES // 2
+    return F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>")  # folded to one constant, which plans print: short numbers keep the driver small
 
 
 def token_set(line: Column, places: Column) -> Column:
-    """Sorted distinct token keys of 64 bits: first the place of the token's class, then bits of another hash."""
-    rest = 64 - CLASS_BITS
-    place = lambda t: F.call_function("shiftleft", F.get(places, class_of(t)).cast("long"), F.lit(rest))
-    tokens = F.array_remove(F.split(line, SPACES), "")
-    return F.sort_array(F.array_distinct(F.transform(tokens, lambda t: place(t).bitwiseOR(F.xxhash64(t).bitwiseAND(F.lit((1 << rest) - 1))))))
+    """Sorted distinct token keys of 64 bits: the place of the token's class, then bits of another hash."""
 
+    def key(t: Column) -> Column:  # never null, and known to be: plain arrays sort faster
+        upper = F.call_function("shiftleft", F.coalesce(F.get(places, class_of(t)), F.lit(0)).cast("long"), F.lit(REST))
+        return upper.bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), CLASS_BITS))
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return F.sort_array(F.array_distinct(F.transform(tokens(line), key)))
 
 
-WORDS = ("w0", "w1", "w2", "w3")
+WORDS = ("w0", "w1")
 
 
 def bitmaps(keys: Column, n: Column) -> list[Column]:
-    """The parity bitmap of a set: w0 alone, or w0 to w3 for wide sets (whose exclusive or is the narrow bitmap)."""
+    """The parity bitmap of a set: w0, the parity of its tokens in 64 bits; w1, that of every other token (wide sets only)."""
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    none, wide = F.lit(0).cast("long"), n >= WIDE
-
-    def word(i: int) -> Column:
-        own = lambda k: F.when(k.bitwiseAND(F.lit(192)) == 64 * i, bit(k)).otherwise(none)
-        part = F.aggregate(keys, none, lambda a, k: a.bitwiseXOR(own(k)))
-        return F.when(wide, part).otherwise(F.aggregate(keys, none, lambda a, k: a.bitwiseXOR(bit(k))) if i == 0 else none)
-
-    return [word(i).alias(w) for i, w in enumerate(WORDS)]
+    none = F.lit(0).cast("long")
+    all_ = F.aggregate(keys, none, lambda a, k: a.bitwiseXOR(bit(k)))
+    half = F.aggregate(keys, none, lambda a, k: F.when(k.bitwiseAND(F.lit(64)) == 0, a).otherwise(a.bitwiseXOR(bit(k))))
+    return [all_.alias("w0"), F.when(n >= WIDE, half).otherwise(none).alias("w1")]
 
 
 def overlap_needed(a: Column, b: Column) -> Column:
@@ -95,96 +103,126 @@ def overlap_needed(a: Column, b: Column) -> Column:
 
 
 def may_match(n: Column, m: Column, p: Column, q: Column, x: list[Column], y: list[Column]) -> Column:
-    """Length, position and bitmap filters for sets of n and m tokens that share the tokens at p and q (from 0)."""
+    """Length, place and bitmap filters for sets of n and m tokens whose first common tokens are those at p and q (from 0)."""
     need = overlap_needed(n, m)
+    apart = n + m - 2 * need  # tokens of one set only, at most
     ones = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    fold = lambda w: w[0].bitwiseXOR(w[1]).bitwiseXOR(w[2]).bitwiseXOR(w[3])
-    apart = F.when((n >= WIDE) & (m >= WIDE), ones(x[0], y[0]) + ones(x[1], y[1]) + ones(x[2], y[2]) + ones(x[3], y[3])).otherwise(ones(fold(x), fold(y)))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (F.least(p, q) + 1 + F.least(n - p, m - q) - 1 >= need) & (apart <= n + m - 2 * need)
+    even = lambda w: w[0].bitwiseXOR(w[1])
+    differ = F.when((n >= WIDE) & (m >= WIDE), ones(even(x), even(y)) + ones(x[1], y[1])).otherwise(ones(x[0], y[0]))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (p + q <= apart) & (F.least(n - p, m - q) >= need) & (differ <= apart)
+
+
+def place(name: str = "") -> Column:
+    return F.struct(*(F.col(f"{name}{c}").alias(c) for c in PLACE))
 
 
 def verified(docs: DataFrame, places: Column, pairs: DataFrame) -> DataFrame:
-    """``late_set`` of the pairs (late_set, late, early_set, early) that do match; early and late are places (doc_id, line_no)."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("late.doc_id").alias("doc_id"), F.col("late.line_no").alias("line_no")).unionByName(pairs.select(F.col("early.doc_id").alias("doc_id"), F.col("early.line_no").alias("line_no"))).distinct()
-    wanted = stored(wanted, "wanted")
-    chosen = lines_of(docs).join(small(wanted), ["doc_id", "line_no"], "left_semi")
-    whole = chosen.select(token_set(F.col("line"), places).alias("k")).withColumn("s", F.xxhash64("k")).dropDuplicates(["s"])
-    whole = stored(whole, "sets")
-    left = pairs.join(whole.select(F.col("s").alias("late_set"), F.col("k").alias("late_keys")), "late_set")
-    both = left.join(whole.select(F.col("s").alias("early_set"), F.col("k").alias("early_keys")), "early_set")
-    common = F.size(F.array_intersect("late_keys", "early_keys"))
-    return both.filter(9 * common >= 4 * (F.size("late_keys") + F.size("early_keys"))).select(F.col("late_set").alias("set_id")).distinct()
+    """The later places of the pairs (xdoc_id, xline_no, ydoc_id, yline_no) of which x matches y, an earlier line. Stored.
+
+    Places come without the hash of the text, to be short. Where an id has
+    several texts, all of them are compared, and the order is settled here.
+    """
+    pairs = stored(pairs.distinct(), "pairs")
+    at = ("doc_id", "line_no")
+    wanted = stored(pairs.select(*(F.col(f"x{c}").alias(c) for c in at)).unionByName(pairs.select(*(F.col(f"y{c}").alias(c) for c in at))).distinct(), "wanted")
+    chosen = lines_of(docs).join(small(wanted), list(at), "left_semi")
+    sets = stored(chosen.select(*PLACE, token_set(F.col("line"), places).alias("keys")), "sets")
+    side = lambda c: sets.select(*(F.col(x).alias(f"{c}{x}") for x in (*PLACE, "keys")))
+    both = pairs.join(side("x"), ["xdoc_id", "xline_no"]).join(side("y"), ["ydoc_id", "yline_no"])
+    common = F.size(F.array_intersect("xkeys", "ykeys"))
+    match = (place("y") < place("x")) & (9 * common >= 4 * (F.size("xkeys") + F.size("ykeys")))
+    found = stored(both.filter(match).select(*(F.col(f"x{c}").alias(c) for c in PLACE)).distinct(), "gone")
+    discard(pairs, wanted, sets)
+    return found
 
 
 def line_sets(docs: DataFrame, places: Column) -> DataFrame:
-    """Stored, a row a line: place, set id, size, bitmap and prefix of its set. Whole texts are cut into tokens once.
+    """Stored, a row a line: place, set id, size (0 without a token), bitmap and prefix of its set. Whole texts are cut into tokens once.
 
     No filter stands on the sets before they are stored: it would be pushed
     below and have them made twice.
     """
-    keyed = lines_of(docs).select("doc_id", "line_no", token_set(F.col("line"), places).alias("keys")).withColumn("n", F.size("keys"))
+    keyed = lines_of(docs).select(*PLACE, token_set(F.col("line"), places).alias("keys")).withColumn("n", F.size("keys"))
     prefix = (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int")
     at = lambda share: F.get("keys", F.floor(F.col("n") * share).cast("int"))
-    meet = F.array(F.get("keys", F.lit(0)), *(F.xxhash64(at(a), at(b)) for a, b in MEETINGS))
-    return stored(keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("set_id"), "n", *bitmaps(F.col("keys"), F.col("n")), F.slice("keys", 1, prefix).alias("head"), meet.alias("meet")), "lines")
+    meet = F.array(*(F.xxhash64(at(a), at(b)) for a, b in MEETINGS))
+    return stored(keyed.select(*PLACE, F.xxhash64("keys").alias("set_id"), "n", *bitmaps(F.col("keys"), F.col("n")), F.slice("keys", 1, prefix).alias("head"), meet.alias("meet")), "lines")
 
 
-def postings(lines: DataFrame, sets: DataFrame, gone: DataFrame) -> DataFrame:
-    """(k, set_id, first place, p, ns, bitmap) for each prefix token of each set, dealt by k; ns is twice the size, plus one if the set is gone.
+def may_be_earlier() -> Column:
+    """y at an earlier place than x, or at the same one in another text of the id."""
+    return (F.col("ydoc_id") < F.col("xdoc_id")) | ((F.col("ydoc_id") == F.col("xdoc_id")) & (F.col("yline_no") <= F.col("xline_no")))
 
-    Copies of a set go before they are posted if the list of their places is
-    small enough to be sent along; else while posting, by an aggregate.
-    """
-    settled = small(gone.withColumn("settled", F.lit(True)))
-    copies = stored(lines.select("doc_id", "line_no", "set_id").join(sets.select("set_id", "first"), "set_id").filter(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no"), "copies")
-    few = copies.count() <= BROADCAST_ROWS
-    once = lines.join(F.broadcast(copies), ["doc_id", "line_no"], "left_anti") if few else lines
-    flagged = once.join(settled, "set_id", "left")
-    ns = F.col("n") * 2 + F.coalesce(F.col("settled"), F.lit(False)).cast("int")
-    posted = flagged.select(F.posexplode("head").alias("p", "k"), "set_id", "doc_id", "line_no", ns.alias("ns"), *WORDS).withColumn("k", F.hash("k"))
-    if few:
-        return posted.repartition("k")
-    once = posted.groupBy("k", "set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("p").alias("p"), F.min("ns").alias("ns"), *(F.min(w).alias(w) for w in WORDS))
-    return once.select("k", "set_id", "at.doc_id", "at.line_no", "p", "ns", *WORDS)
-
-
-def gone_sets(docs: DataFrame, *, min_tokens: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Tables of all lines that take part (doc_id, line_no, set_id), and of each set its first place and whether it goes."""
-    places = rarity(docs)
-    lines = line_sets(docs, places).filter(F.col("n") >= min_tokens)
-    sets = stored(lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(c).alias(c) for c in ("n", "meet", *WORDS))), "firsts")
-    # First round: with the first and the previous set met at one of a few places; positions say nothing here.
-    near = sets.filter(F.col("n") >= JOINED).select("set_id", "first", "n", *WORDS, F.lit(0).alias("p"), F.explode(F.array_distinct("meet")).alias("k")).filter("k IS NOT NULL")
-    order = Window.partitionBy("k").orderBy("first", "set_id")
-    me = F.struct("set_id", "first", "n", *WORDS, "p")
+
+def settled_early(docs: DataFrame, places: Column, sets: DataFrame) -> DataFrame:
+    """First round: first places of sets that match the first or the previous set met at one of a few places (positions say nothing there)."""
+    mine = ("doc_id", "line_no", "n", *WORDS)
+    near = sets.select("first.doc_id", "first.line_no", "n", *WORDS, F.explode(F.array_distinct("meet")).alias("k"))
+    order = Window.partitionBy("k").orderBy(*mine)
+    me = F.struct(*mine)
     asked = near.withColumn("o1", F.first(me).over(order)).withColumn("o2", F.lag(me).over(order))
-    asked = asked.withColumn("o", F.explode(F.array("o1", "o2"))).filter("o.set_id != set_id")
-    ok = may_match(F.col("n"), F.col("o.n"), F.col("p"), F.col("o.p"), [F.col(w) for w in WORDS], [F.col(f"o.{w}") for w in WORDS])
-    pairs = asked.filter(ok).select(F.col("set_id").alias("late_set"), F.col("first").alias("late"), F.col("o.set_id").alias("early_set"), F.col("o.first").alias("early")).distinct()
-    gone = stored(verified(docs, places, pairs), "gone")
-    # Second round: what is not gone asks all sets that share a prefix token.
-    posted = postings(lines.filter(F.col("n") >= JOINED), sets.filter(F.col("n") >= JOINED), gone)
-    side = lambda df, c: df.select(F.col("k").alias(f"{c}k"), F.col("set_id").alias(f"{c}s"), F.col("doc_id").alias(f"{c}d"), F.col("line_no").alias(f"{c}l"), F.col("p").alias(f"{c}p"), F.floor(F.col("ns") / 2).alias(f"{c}n"), *(F.col(w).alias(f"{c}{w}") for w in WORDS))
-    before = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") < F.col("xl")))
-    meet = (F.col("xk") == F.col("yk")) & before & may_match(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), [F.col(f"x{w}") for w in WORDS], [F.col(f"y{w}") for w in WORDS])
-    met = side(posted.filter("ns % 2 = 0"), "x").join(side(posted, "y"), meet)
-    place = lambda c: F.struct(F.col(f"{c}d").alias("doc_id"), F.col(f"{c}l").alias("line_no"))
-    rest = met.groupBy("xs", "ys").agg(F.min("xd").alias("xd"), F.min("xl").alias("xl"), F.min("yd").alias("yd"), F.min("yl").alias("yl")).select(F.col("xs").alias("late_set"), place("x").alias("late"), F.col("ys").alias("early_set"), place("y").alias("early"))
-    of = sets.select("set_id", "first")
-    every = gone.unionByName(verified(docs, places, rest)).distinct().withColumn("goes", F.lit(True))
-    verdicts = stored(of.join(every, "set_id", "left").withColumn("goes", F.coalesce("goes", F.lit(False))), "verdicts")
-    return lines.select("doc_id", "line_no", "set_id"), verdicts
-
-
-def dedup(docs: DataFrame, *, min_tokens: int = 5) -> DataFrame:
+    asked = asked.withColumn("o", F.explode(F.array("o1", "o2"))).filter(F.col("o").isNotNull() & (F.col("o") != me))
+    none = F.lit(0)
+    ok = may_match(F.col("n"), F.col("o.n"), none, none, [F.col(w) for w in WORDS], [F.col(f"o.{w}") for w in WORDS])
+    return verified(docs, places, asked.filter(ok).select(F.col("doc_id").alias("xdoc_id"), F.col("line_no").alias("xline_no"), F.col("o.doc_id").alias("ydoc_id"), F.col("o.line_no").alias("yline_no")))
+
+
+def gone_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: all lines (place, n, set_id and more), and of each set with a token its first place and whether it goes."""
+    places = rarity(docs)
+    made = line_sets(docs, places)
+    lines = made.filter("n > 0")
+    sets = stored(lines.groupBy("set_id").agg(F.min(place()).alias("first"), *(F.first(c).alias(c) for c in ("n", "meet", *WORDS))), "firsts")
+    joined = F.col("n") >= JOINED
+    gone = settled_early(docs, places, sets.filter(joined))
+    # Second round: what is not gone asks all sets that share a prefix token. A posting holds n, p and whether its set is gone in one number.
+    copies = stored(lines.select(*PLACE, "set_id").join(sets.select("set_id", "first"), "set_id").filter(place() != F.col("first")).select(*PLACE), "copies")
+    once = lines.filter(joined).join(small(copies), list(PLACE), "left_anti")
+    flagged = once.join(small(gone.withColumn("settled", F.lit(1))), list(PLACE), "left").withColumn("settled", F.coalesce("settled", F.lit(0)))
+    # Only where an id has several texts does a posting need the hash of its text.
+    again = sets.groupBy("first.doc_id").agg((F.min("first.text_hash") != F.max("first.text_hash")).alias("again")).filter("again")
+    repeated = stored(again, "repeated")
+    flagged = flagged.join(small(repeated), "doc_id", "left").withColumn("text", F.when(F.col("again"), F.col("text_hash")).otherwise(F.lit(0)))
+    npg = F.coalesce(F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)) + 2 * F.col("p") + F.col("settled"), F.lit(0).cast("long"))
+    posted = flagged.select("doc_id", "line_no", "text", "n", "settled", *WORDS, F.posexplode("head").alias("p", "k")).select("k", "doc_id", "line_no", "text", npg.alias("npg"), *WORDS)
+
+    def side(c: str) -> DataFrame:
+        return posted.select(*(F.col(x).alias(f"{c}{x}") for x in posted.columns))
+
+    of = lambda c: [F.col(f"{c}{w}") for w in WORDS]
+    n = lambda c: F.shiftright(f"{c}npg", 32).cast("int")
+    p = lambda c: F.shiftrightunsigned(F.col(f"{c}npg").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+    # Both sides read one exchange. That x is not gone is said with a column of y, as a filter on x alone would move below the exchange and make another one; nor may npg be null, for the same reason.
+    asks = F.col("xnpg").bitwiseAND(F.lit(1)) * F.lit(1 << 31) < n("y")
+    meet = (F.col("xk") == F.col("yk")) & asks & may_be_earlier() & may_match(n("x"), n("y"), p("x"), p("y"), of("x"), of("y"))
+    other = (F.col("xdoc_id") != F.col("ydoc_id")) | (F.col("xline_no") != F.col("yline_no")) | (F.col("xtext") != F.col("ytext"))
+    met = side("x").join(side("y"), meet & other)
+    late = verified(docs, places, met.select("xdoc_id", "xline_no", "ydoc_id", "yline_no"))
+    every = gone.unionByName(late).distinct().select(place().alias("first"), F.lit(True).alias("goes"))
+    verdicts = stored(sets.select("set_id", "first").join(every, "first", "left").withColumn("goes", F.coalesce("goes", F.lit(False))), "verdicts")
+    discard(sets, copies, gone, late, repeated)
+    return made, verdicts
+
+
+def without(text: Column, gone: Column) -> Column:
+    """The text without its lines at the places in ``gone``, in time that grows with the number of lines."""
+    left = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i))
+    return F.get(F.transform(F.array(F.split(text, "\n")), lambda parts: F.array_join(left(parts), "\n")), F.lit(0))
+
+
+def counts_name(docs: DataFrame) -> str:
+    """The column that ``dedup`` adds."""
+    return free("lines_gone", docs.columns)
+
+
+def dedup(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, ``text`` without the lines that go, and ``lines_gone``, how many they are."""
-    plain = docs.select("doc_id", "text")
-    lines, verdicts = gone_sets(plain, min_tokens=min_tokens)
-    here = F.struct("doc_id", "line_no")
-    gone = lines.join(verdicts, "set_id").filter(F.col("goes") | (here > F.col("first"))).select("doc_id", "line_no").distinct()
-    by_doc = stored(gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("_gone")), "gone_lines").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(small(by_doc), F.col("doc_id") == F.col("_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    out = joined.withColumn("lines_gone", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    return out.select(*docs.columns, "lines_gone")
+    lines, verdicts = gone_sets(docs.select("doc_id", "text"))
+    gone = lines.filter("n > 0").select(*PLACE, "set_id").join(verdicts, "set_id").filter(F.col("goes") | (place() > F.col("first"))).select(*PLACE)
+    i, h, g = (free(c, docs.columns) for c in ("_id", "_hash", "_gone"))
+    by_doc = stored(gone.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias(g)).withColumnsRenamed({"doc_id": i, "text_hash": h}), "gone_lines")
+    discard(lines, verdicts)
+    joined = docs.join(small(by_doc), (F.col("doc_id") == F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")
+    count = counts_name(docs)
+    out = joined.withColumn(count, F.when(F.col(g).isNull(), 0).otherwise(F.size(g))).withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(g))))
+    return out.select(*docs.columns, count)

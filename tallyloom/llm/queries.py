@@ -45,7 +45,7 @@ def op2_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup(docs, min_tokens=1).select("doc_id", "lines_gone", "text")
+    return lines.dedup(docs).select("doc_id", "lines_gone", "text")
 
 
 def op4_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
