@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import counted, free, ship, tidy
 
 WORD_BITS = 22
 WORD_DIM = 1 << WORD_BITS
@@ -115,21 +115,24 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int, c: float, epochs: int, seed: int) -> np.ndarray:
-    """Dual coordinate descent for the linear hinge loss; the last weight is the bias."""
-    w, alpha = np.zeros(dim + 1), np.zeros(len(rows))
-    norm = np.array([float(v @ v) + 1.0 for _, v in rows])
+def descend(at: np.ndarray, ids: np.ndarray, values: np.ndarray, use: np.ndarray, y: np.ndarray, dim: int, c: float, epochs: int, seed: int) -> np.ndarray:
+    """Dual coordinate descent for the linear hinge loss over the rows in ``use``; the last weight is the bias.
+
+    Row i holds the indicators at[i] to at[i + 1] of ``ids`` and ``values``.
+    """
+    w, alpha = np.zeros(dim + 1), np.zeros(len(y))
+    norm = np.add.reduceat(np.append(np.square(values, dtype=np.float64), 0), at[:-1]) * (np.diff(at) > 0) + 1.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
-        for i in rng.permutation(len(rows)):
-            ids, v = rows[i]
-            grad = y[i] * (float(w[ids] @ v) + w[dim]) - 1
+        for i in rng.permutation(use):
+            own, v = ids[at[i] : at[i + 1]], values[at[i] : at[i + 1]]
+            grad = y[i] * (float(w[own] @ v) + w[dim]) - 1
             new = min(max(alpha[i] - grad / norm[i], 0.0), c)
             step = new - alpha[i]
             if step:
                 alpha[i] = new
-                w[ids] += (step * y[i]) * v
+                w[own] += (step * y[i]) * v
                 w[dim] += step * y[i]
                 most = max(most, abs(step))
         if most < 1e-3 * c:
@@ -161,28 +164,29 @@ def fit_rows(ids: list[np.ndarray], label: np.ndarray, *, c: float = 1.0, epochs
     fold = np.arange(len(label)) % 5 == 4
     if len(set(label[fold])) < 2 or len(set(label[~fold])) < 2:
         fold = np.zeros(len(label), bool)
-    counts = np.zeros((2, DIM))
-    for x, k in zip(ids, label):
-        counts[k][x] += 1
+    # Numbers of 32 bits in a few flat arrays: the driver holds all rows of the fit at once.
+    counts = np.zeros((2, DIM), np.int32)
     for x, k, out in zip(ids, label, fold):
-        if out:
-            counts[k][x] -= 1
+        if not out:
+            counts[k][x] += 1
     kept = counts.sum(0) >= min(min_docs, max(1, len(label) // 20))
     ones, zeros = (label[~fold] == 1).sum(), (label[~fold] == 0).sum()
-    ratio = np.log((counts[1] + 1) / (ones + 2)) - np.log((counts[0] + 1) / (zeros + 2))
-    ratio[~kept] = 0.0
-    dense = np.full(DIM, -1, np.int64)
-    dense[kept] = np.arange(kept.sum())
-    rows = []
-    for x in ids:
-        known = x[kept[x]]
-        rows.append((dense[known], ratio[known] / np.sqrt(max(1, len(x)))))
+    ratio = (np.log((counts[1][kept] + 1) / (ones + 2)) - np.log((counts[0][kept] + 1) / (zeros + 2))).astype(np.float32)
+    del counts
+    dense = np.full(DIM, -1, np.int32)
+    dense[kept] = np.arange(len(ratio), dtype=np.int32)
+    known = [dense[x[kept[x]]] for x in ids]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in known])))
+    scale = np.repeat(np.array([1 / np.sqrt(max(1, len(x))) for x in ids], np.float32), np.diff(at))
+    flat = np.concatenate(known)
+    values = ratio[flat] * scale
+    del known, dense, scale
     y = np.where(label == 1, 1.0, -1.0)
-    w = descend([r for r, out in zip(rows, fold) if not out], y[~fold], int(kept.sum()), c, epochs, seed)
+    w = descend(at, flat, values, np.flatnonzero(~fold), y, len(ratio), c, epochs, seed)
     weights = np.zeros(DIM, np.float32)
-    weights[kept] = ratio[kept] * w[:-1]
-    held = fold if fold.any() else np.ones(len(label), bool)
-    margin = np.array([float(w[r] @ v) + w[-1] for (r, v), use in zip(rows, held) if use])
+    weights[kept] = ratio * w[:-1]
+    held = np.flatnonzero(fold) if fold.any() else np.arange(len(label))
+    margin = np.array([float(w[flat[at[i] : at[i + 1]]] @ values[at[i] : at[i + 1]]) + w[-1] for i in held])
     a, b = logistic(margin, label[held])
     return QualityModel(weights, float(w[-1]), a, b, 0.0)
 
@@ -204,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, folds: int
         .groupBy("d")
         .agg(F.max("q").alias("q"))
     )
-    total = known.count()
+    total = counted(known)
     cut = int((1 << 30) * min(1.0, max_rows / max(1, total)))
     drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), "d"), F.lit(1 << 30)) < cut)
     texts = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("t"))
@@ -214,14 +218,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, folds: int
             found = [indicators(t).astype(np.int32).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("d"), b.column("q"), pa.array(found, pa.binary())], ["d", "q", "x"])
 
-    got = texts.join(F.broadcast(drawn), "d").select("d", "q", "t").mapInArrow(gather, "d long, q int, x binary").toArrow()
+    with tidy(docs.sparkSession):
+        got = texts.join(F.broadcast(drawn), "d").select("d", "q", "t").mapInArrow(gather, "d long, q int, x binary").toArrow()
     rows = sorted(zip(got.column("d").to_pylist(), got.column("q").to_pylist(), got.column("x").to_pylist()), key=lambda r: (r[0], r[2]))
-    ids = [np.frombuffer(x, np.int32).astype(np.int64) for _, _, x in rows]
+    del got
+    pa.default_memory_pool().release_unused()
+    ids = [np.frombuffer(x, np.int32) for _, _, x in rows]
     return fit_rows(ids, np.array([q for _, q, _ in rows], np.int64), seed=seed)
 
 
+def added(docs: DataFrame) -> tuple[str, str]:
+    """The columns that ``score`` adds; an input column of such a name stays, the new one gets an underscore more."""
+    return free("quality_score", docs.columns), free("quality_predicted", docs.columns)
+
+
 def score(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs`` with ``quality_score`` and ``quality_predicted`` (replaced if there)."""
+    """All columns of ``docs`` with ``quality_score`` and ``quality_predicted`` (see ``added``)."""
     held = docs.sparkSession.sparkContext.broadcast(astuple(model))  # of fixed size: DIM weights
 
     @F.arrow_udf("double")
@@ -229,7 +241,8 @@ def score(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3) -> Da
         m = QualityModel(*held.value)
         return pa.array([m.score(x) for x in t.to_pylist()], pa.float64())
 
-    return docs.withColumn("quality_score", scored(F.col("text"))).withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))
+    points, predicted = added(docs)
+    return docs.withColumn(points, scored(F.col("text"))).withColumn(predicted, (F.col(points) >= threshold).cast("int"))
 
 
 ship(__name__)
