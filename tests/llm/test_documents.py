@@ -147,6 +147,18 @@ def test_tokens_beyond_latin():
         assert own(t).tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_splits_of_settled_code_points():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as P
+
+    path, settled = P.path("byte_bpe_50k.json"), re.compile(f"[{packing.SETTLED}]")
+    own, theirs = packing.Tokens(path, P.PATTERN), Tokenizer.from_file(path)
+    texts = [f"a{c}1{c}{c} {c}b .{c}" for c in map(chr, range(0x10000)) if settled.match(c)]
+    joined = ["".join(texts[low : low + 64]) for low in range(0, len(texts), 64)]
+    assert all(own(t).tolist() == e.ids for t, e in zip(joined, theirs.encode_batch(joined, add_special_tokens=False)))
+
+
 def test_lengths():
     for n in (1, 127, 128, 129, 1365, 2047, 2048, 2049, 100_000):
         cut = packing.lengths_of(n, 2048, 128)
@@ -203,6 +215,23 @@ def test_mix_of_small_sources(spark):
     assert {round(r.target, 6) for r in got} == {round(x, 6) for x in want.values()}
 
 
+def test_draws_beyond_one_count(monkeypatch):
+    totals = np.array([123, 0, 4567, 89])
+    for most in (mixing.DRAWN, 100, 37):
+        monkeypatch.setattr(mixing, "DRAWN", most)
+        for shards in (1, 3, 64, 1000):
+            at = np.zeros(4, np.int64)
+            for k in range(shards):
+                first, count = mixing.drawn(totals, shards, k, 11)
+                assert (first == at).all() and (count >= 0).all()
+                at = first + count
+            assert (at == totals).all()
+    monkeypatch.undo()
+    first, count = mixing.drawn(np.array([6 * 10**11, 3 * 10**9, 5]), 10**8, 12_345_678, 11)
+    after, _ = mixing.drawn(np.array([6 * 10**11, 3 * 10**9, 5]), 10**8, 12_345_679, 11)
+    assert (first + count == after).all() and abs(count.sum() - 6030) < 5
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         i = np.arange(n)
