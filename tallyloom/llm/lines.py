@@ -14,7 +14,7 @@ the whole sets. Lines of one set stand as its first. Sets of up to 3 tokens
 reach 0.8 with their own copies only and stay out of the join.
 
 A group of many like lines would join with itself in all pairs. So a first
-round compares each set only with the first and the previous one that it meets
+round compares each set only with the first and a few previous ones that it meets
 at one of two places (pairs of tokens on the way from rare to frequent), and
 what it finds to be gone asks no more in the second round, which joins all others
 with everything.
@@ -44,6 +44,8 @@ JOINED = 4
 SPACES = r"[\x20\x09-\x0D]+"
 #: Pairs of places in the order by rarity, as shares of the size, whose tokens bring like sets together in the first round.
 MEETINGS = ((0.3, 0.5), (0.6, 0.8))
+#: How far back the first round looks, beside the first set met.
+BEFORE = (1, 2, 4)
 #: Where a line stands, in the order of the documents.
 PLACE = ("doc_id", "text_hash", "line_no")
 
@@ -97,26 +99,24 @@ def bitmaps(keys: Column, n: Column) -> list[Column]:
     return [all_.alias("w0"), F.when(n >= WIDE, half).otherwise(none).alias("w1")]
 
 
-def overlap_needed(a: Column, b: Column) -> Column:
-    """Common tokens that a similarity of 0.8 takes: ceil(4 (a + b) / 9)."""
-    return F.floor((4 * (a + b) + 8) / 9)
-
-
 def may_match(n: Column, m: Column, p: Column, q: Column, x: list[Column], y: list[Column]) -> Column:
-    """Length, place and bitmap filters for sets of n and m tokens whose first common tokens are those at p and q (from 0)."""
-    need = overlap_needed(n, m)
-    apart = n + m - 2 * need  # tokens of one set only, at most
+    """Place, length and bitmap filters for sets of n and m tokens whose first common tokens are those at p and q (from 0).
+
+    Two sets match if the tokens of one of them only are (n + m) / 9 at most, or
+    the common ones 4 (n + m) / 9 at least; with p = q = 0 that bounds the lengths.
+    """
+    both = n + m
     ones = lambda a, b: F.bit_count(a.bitwiseXOR(b))
     even = lambda w: w[0].bitwiseXOR(w[1])
     differ = F.when((n >= WIDE) & (m >= WIDE), ones(even(x), even(y)) + ones(x[1], y[1])).otherwise(ones(x[0], y[0]))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (p + q <= apart) & (F.least(n - p, m - q) >= need) & (differ <= apart)
+    return (9 * (p + q) <= both) & (9 * F.least(n - p, m - q) >= 4 * both) & (9 * differ <= both)
 
 
 def place(name: str = "") -> Column:
     return F.struct(*(F.col(f"{name}{c}").alias(c) for c in PLACE))
 
 
-def verified(docs: DataFrame, places: Column, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, places_of: Column, pairs: DataFrame) -> DataFrame:
     """The later places of the pairs (xdoc_id, xline_no, ydoc_id, yline_no) of which x matches y, an earlier line. Stored.
 
     Places come without the hash of the text, to be short. Where an id has
@@ -124,9 +124,13 @@ def verified(docs: DataFrame, places: Column, pairs: DataFrame) -> DataFrame:
     """
     pairs = stored(pairs.distinct(), "pairs")
     at = ("doc_id", "line_no")
-    wanted = stored(pairs.select(*(F.col(f"x{c}").alias(c) for c in at)).unionByName(pairs.select(*(F.col(f"y{c}").alias(c) for c in at))).distinct(), "wanted")
-    chosen = lines_of(docs).join(small(wanted), list(at), "left_semi")
-    sets = stored(chosen.select(*PLACE, token_set(F.col("line"), places).alias("keys")), "sets")
+    places = pairs.select(*(F.col(f"x{c}").alias(c) for c in at)).unionByName(pairs.select(*(F.col(f"y{c}").alias(c) for c in at)))
+    wanted = stored(places.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines")), "wanted")
+    # One look for each document, not for each line; only lines that are asked for are made rows.
+    met = docs.join(small(wanted), "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), "lines", F.array(F.split("text", "\n")).alias("held"))
+    chosen = F.get(F.transform("held", lambda parts: F.transform("lines", lambda i: F.struct(i.alias("line_no"), F.get(parts, i).alias("line")))), F.lit(0))
+    rows = met.select("doc_id", "text_hash", F.explode(chosen).alias("c")).select("doc_id", "text_hash", "c.line_no", "c.line").filter("line IS NOT NULL")
+    sets = stored(rows.select(*PLACE, token_set(F.col("line"), places_of).alias("keys")), "sets")
     side = lambda c: sets.select(*(F.col(x).alias(f"{c}{x}") for x in (*PLACE, "keys")))
     both = pairs.join(side("x"), ["xdoc_id", "xline_no"]).join(side("y"), ["ydoc_id", "yline_no"])
     common = F.size(F.array_intersect("xkeys", "ykeys"))
@@ -155,13 +159,13 @@ def may_be_earlier() -> Column:
 
 
 def settled_early(docs: DataFrame, places: Column, sets: DataFrame) -> DataFrame:
-    """First round: first places of sets that match the first or the previous set met at one of a few places (positions say nothing there)."""
+    """First round: first places of sets that match the first or one of a few previous sets met at one of two places (positions say nothing there)."""
     mine = ("doc_id", "line_no", "n", *WORDS)
     near = sets.select("first.doc_id", "first.line_no", "n", *WORDS, F.explode(F.array_distinct("meet")).alias("k"))
     order = Window.partitionBy("k").orderBy(*mine)
     me = F.struct(*mine)
-    asked = near.withColumn("o1", F.first(me).over(order)).withColumn("o2", F.lag(me).over(order))
-    asked = asked.withColumn("o", F.explode(F.array("o1", "o2"))).filter(F.col("o").isNotNull() & (F.col("o") != me))
+    asked = near.withColumn("o", F.array(F.first(me).over(order), *(F.lag(me, k).over(order) for k in BEFORE)))
+    asked = asked.withColumn("o", F.explode("o")).filter(F.col("o").isNotNull() & (F.col("o") != me))
     none = F.lit(0)
     ok = may_match(F.col("n"), F.col("o.n"), none, none, [F.col(w) for w in WORDS], [F.col(f"o.{w}") for w in WORDS])
     return verified(docs, places, asked.filter(ok).select(F.col("doc_id").alias("xdoc_id"), F.col("line_no").alias("xline_no"), F.col("o.doc_id").alias("ydoc_id"), F.col("o.line_no").alias("yline_no")))
@@ -175,7 +179,7 @@ def gone_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = stored(lines.groupBy("set_id").agg(F.min(place()).alias("first"), *(F.first(c).alias(c) for c in ("n", "meet", *WORDS))), "firsts")
     joined = F.col("n") >= JOINED
     gone = settled_early(docs, places, sets.filter(joined))
-    # Second round: what is not gone asks all sets that share a prefix token. A posting holds n, p and whether its set is gone in one number.
+    # Second round: what is not gone asks all sets that share a prefix token. A posting holds p and whether its set is gone in one number.
     copies = stored(lines.select(*PLACE, "set_id").join(sets.select("set_id", "first"), "set_id").filter(place() != F.col("first")).select(*PLACE), "copies")
     once = lines.filter(joined).join(small(copies), list(PLACE), "left_anti")
     flagged = once.join(small(gone.withColumn("settled", F.lit(1))), list(PLACE), "left").withColumn("settled", F.coalesce("settled", F.lit(0)))
@@ -183,18 +187,17 @@ def gone_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = sets.groupBy("first.doc_id").agg((F.min("first.text_hash") != F.max("first.text_hash")).alias("again")).filter("again")
     repeated = stored(again, "repeated")
     flagged = flagged.join(small(repeated), "doc_id", "left").withColumn("text", F.when(F.col("again"), F.col("text_hash")).otherwise(F.lit(0)))
-    npg = F.coalesce(F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)) + 2 * F.col("p") + F.col("settled"), F.lit(0).cast("long"))
-    posted = flagged.select("doc_id", "line_no", "text", "n", "settled", *WORDS, F.posexplode("head").alias("p", "k")).select("k", "doc_id", "line_no", "text", npg.alias("npg"), *WORDS)
+    sure = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    posted = flagged.select("doc_id", "line_no", "text", "n", "settled", *WORDS, F.posexplode("head").alias("p", "k")).select("k", "doc_id", "line_no", "text", sure(F.col("n")).alias("n"), sure(2 * F.col("p") + F.col("settled")).alias("pg"), *WORDS)
 
     def side(c: str) -> DataFrame:
         return posted.select(*(F.col(x).alias(f"{c}{x}") for x in posted.columns))
 
     of = lambda c: [F.col(f"{c}{w}") for w in WORDS]
-    n = lambda c: F.shiftright(f"{c}npg", 32).cast("int")
-    p = lambda c: F.shiftrightunsigned(F.col(f"{c}npg").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
-    # Both sides read one exchange. That x is not gone is said with a column of y, as a filter on x alone would move below the exchange and make another one; nor may npg be null, for the same reason.
-    asks = F.col("xnpg").bitwiseAND(F.lit(1)) * F.lit(1 << 31) < n("y")
-    meet = (F.col("xk") == F.col("yk")) & asks & may_be_earlier() & may_match(n("x"), n("y"), p("x"), p("y"), of("x"), of("y"))
+    n, p = lambda c: F.col(f"{c}n"), lambda c: F.shiftright(f"{c}pg", 1)
+    # Both sides read one exchange. That x is not gone is said with a column of y, as a filter on x alone would move below the exchange and make another one; nor may n and pg be null, for the same reason.
+    asks = F.col("xpg").bitwiseAND(F.lit(1)) * F.lit(1 << 31) < n("y")
+    meet = (F.col("xk") == F.col("yk")) & may_be_earlier() & asks & may_match(n("x"), n("y"), p("x"), p("y"), of("x"), of("y"))
     other = (F.col("xdoc_id") != F.col("ydoc_id")) | (F.col("xline_no") != F.col("yline_no")) | (F.col("xtext") != F.col("ytext"))
     met = side("x").join(side("y"), meet & other)
     late = verified(docs, places, met.select("xdoc_id", "xline_no", "ydoc_id", "yline_no"))
