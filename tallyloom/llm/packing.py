@@ -18,8 +18,8 @@ null id are packed like any other. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,30 @@ BROADCAST_ROWS = 1_000_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, worker long, place long"
 
 
+def byte_letters() -> dict[int, int]:
+    """The code point by which a byte-level vocabulary writes each byte: itself if it prints, else the next one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in prints else next(rest) for b in range(256)}
+
+
+def split_encoder(whole):
+    """What gives the ids of one split: the tokenizer's model, where nothing but a change of bytes to letters stands before it, else the tokenizer."""
+    from tokenizers import models, pre_tokenizers
+
+    before = whole.pre_tokenizer
+    if whole.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space and isinstance(whole.model, models.BPE):
+        letters, merged = byte_letters(), whole.model.tokenize
+        return lambda split: [t.id for t in merged(split.encode("utf-8").decode("latin-1").translate(letters))]
+    return lambda split: whole.encode(split, add_special_tokens=False).ids
+
+
 class Tokens:
     """Ids that the tokenizer of a file gives a text.
 
     ``pattern`` is how the tokenizer cuts a text into splits. Where that runs here,
     ids of a split are looked up in a bounded table and come from the
-    tokenizer where they are not there. Texts with an added token, or with a code
+    tokenizer's model where they are not there. Texts with an added token, or with a code
     point that Unicode versions may see differently, go to the tokenizer whole.
     """
 
@@ -54,20 +72,23 @@ class Tokens:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in whole.get_added_tokens_decoder().values()]
+        added = [t.content for t in whole.get_added_tokens_decoder().values()]
+        encoded = split_encoder(whole)
 
         def one(text: str) -> list[int]:
             return whole.encode(text, add_special_tokens=False).ids
 
         class Known(dict):
-            def __missing__(self, piece: str) -> tuple[int, ...]:
-                ids = tuple(one(piece))
+            def __missing__(self, piece: str) -> bytes:  # as it is packed: short, joined at once
+                found = encoded(piece)
+                ids = struct.pack(f"<{len(found)}I", *found)
                 if len(self) < keep:
                     self[piece] = ids
                 return ids
 
         self.one, self.known = one, Known()
-        self.apart = re.compile("|".join([f"[^{SETTLED}]", *added])).search
+        unsettled = re.compile(f"[^{SETTLED}]").search
+        self.apart = lambda text: any(a in text for a in added) or (not text.isascii() and unsettled(text) is not None)
         self.any_split = regex.compile(pattern).findall
         s, n, w = LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACES
         self.latin_split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{s}]+| ?[{n}]+| ?[^{w}{s}{n}]+|[{w}]+(?![^{w}])|[{w}]+").findall
@@ -76,8 +97,8 @@ class Tokens:
     def __call__(self, text: str) -> np.ndarray:
         if self.apart(text):
             return np.array(self.one(text), np.uint32)
-        splits = self.any_split(text) if self.beyond_latin(text) else self.latin_split(text)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, splits)), np.uint32)
+        splits = self.any_split(text) if not text.isascii() and self.beyond_latin(text) else self.latin_split(text)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, splits)), "<u4")
 
 
 def lengths_of(count: int, capacity: int, tail: int) -> list[int]:

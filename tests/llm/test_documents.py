@@ -360,3 +360,17 @@ def test_line_dedup_defined_cases(odd, empty):
     assert out[4].text == "other words that differ a lot" and out[2].text is None and out[None].lines_gone == 0
     assert got.count() == len(ROWS)
     assert lines.dedup(empty).count() == 0
+
+
+def test_splits_go_to_the_model_alone():
+    """op5: a split that the table lacks costs a look at the merges, not a run of the whole tokenizer; ids stay the tokenizer's."""
+    tokens = packing.Tokens(*vocabulary())
+    whole, texts = tokens.one, ["Some words, naïve ones\tand  42 \x00 \xad ½ ²\n\n", "中文 and かな, don't", " ", "x\x85y\xa0z"]
+    want = [whole(t) for t in texts]
+    tokens.one = None
+    assert [tokens(t).tolist() for t in texts] == want
+    from tokenizers import Tokenizer
+
+    encode = packing.split_encoder(Tokenizer.from_file(vocabulary()[0]))
+    assert encode.__closure__ and not any(isinstance(c.cell_contents, Tokenizer) for c in encode.__closure__)
+    assert encode(" naïve") == whole(" naïve")
