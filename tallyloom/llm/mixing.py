@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import counted, free, ship, stored, tidy
+from .shared import chunks, counted, free, released, ship, stored, tidy
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -206,17 +206,16 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     sized = "n_chars" in columns
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low in range(0, b.num_rows, 256):
-                part = b.slice(low, 256)
-                texts = [cut_pieces(t, k) for t, k in zip(part.column("text").to_pylist(), part.column(list_).to_pylist())]
-                rows = part.drop_columns([list_]).take(pa.array([i for i, x in enumerate(texts) for _ in x], pa.int64()))
-                flat = pa.array([x for xs in texts for x in xs], pa.string())
-                rows = rows.set_column(rows.schema.get_field_index("text"), "text", flat)
-                if sized:
-                    n = pa.compute.utf8_length(flat).cast(rows.schema.field("n_chars").type)
-                    rows = rows.set_column(rows.schema.get_field_index("n_chars"), "n_chars", n)
-                yield rows
+        released()
+        for part in chunks(batches):
+            texts = [cut_pieces(t, k) for t, k in zip(part.column("text").to_pylist(), part.column(list_).to_pylist())]
+            rows = part.drop_columns([list_]).take(pa.array([i for i, x in enumerate(texts) for _ in x], pa.int64()))
+            flat = pa.array([x for xs in texts for x in xs], pa.string())
+            rows = rows.set_column(rows.schema.get_field_index("text"), "text", flat)
+            if sized:
+                n = pa.compute.utf8_length(flat).cast(rows.schema.field("n_chars").type)
+                rows = rows.set_column(rows.schema.get_field_index("n_chars"), "n_chars", n)
+            yield rows
 
     return joined.mapInArrow(out, docs.schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ship, stored
+from .shared import BATCH_BYTES, chunks, released, ship, stored
 
 #: The letters and numbers among the first 256 code points, as the vocabulary's split pattern sees them.
 LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -58,6 +58,24 @@ def split_encoder(whole):
     return lambda split: whole.encode(split, add_special_tokens=False).ids
 
 
+class Known(dict):
+    """Ids by split, as they are packed: short, joined at once. At most ``keep`` splits stay.
+
+    A class of its own outside ``Tokens``: one made for each object would hold the tokenizer in a cycle, and a
+    worker would keep those of its last tasks.
+    """
+
+    def __init__(self, encoded, keep: int):
+        self.encoded, self.keep = encoded, keep
+
+    def __missing__(self, split: str) -> bytes:
+        found = self.encoded(split)
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self) < self.keep:
+            self[split] = ids
+        return ids
+
+
 class Tokens:
     """Ids that the tokenizer of a file gives a text.
 
@@ -78,15 +96,7 @@ class Tokens:
         def one(text: str) -> list[int]:
             return whole.encode(text, add_special_tokens=False).ids
 
-        class Known(dict):
-            def __missing__(self, piece: str) -> bytes:  # as it is packed: short, joined at once
-                found = encoded(piece)
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(self) < keep:
-                    self[piece] = ids
-                return ids
-
-        self.one, self.known = one, Known()
+        self.one, self.known = one, Known(encoded, keep)
         unsettled = re.compile(f"[^{SETTLED}]").search
         self.apart = lambda text: any(a in text for a in added) or (not text.isascii() and unsettled(text) is not None)
         self.any_split = regex.compile(pattern).findall
@@ -124,6 +134,7 @@ def cut(docs: DataFrame, tokenizer_path: str, pattern: str, *, capacity: int = 2
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        released()  # the worker may hold what tasks of earlier stages freed
         worker = TaskContext.get().partitionId()
         tokens, made = Tokens(tokenizer_path, pattern, keep), {}
         columns: list[list] = [[] for _ in range(6)]
@@ -139,7 +150,7 @@ def cut(docs: DataFrame, tokenizer_path: str, pattern: str, *, capacity: int = 2
                 c.clear()
             return out
 
-        for b in batches:
+        for b in chunks(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids = np.append(tokens(text or ""), np.uint32(end_id)).astype("<u4")
                 at = 0
@@ -150,7 +161,7 @@ def cut(docs: DataFrame, tokenizer_path: str, pattern: str, *, capacity: int = 2
                         c.append(v)
                     at += n
                 size += 4 * len(ids)
-                if size > 8 << 20:
+                if size > BATCH_BYTES:
                     yield batch()
                     size = 0
         if columns[0]:
